@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, packing, quality
+from weft.llm import bpe, packing, quality, sharding
 
-_MODULES = (quality, bpe, packing)
+_MODULES = (quality, bpe, packing, sharding)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
