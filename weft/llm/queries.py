@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, langid, minhash, packing, quality, sharding
+from weft.llm import bpe, html, langid, minhash, packing, quality, sharding
 
-_MODULES = (quality, bpe, packing, sharding, minhash, langid)
+_MODULES = (quality, bpe, packing, sharding, minhash, langid, html)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
