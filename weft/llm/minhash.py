@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles. Under each permutation both t
 hash are kept, so the signature has two unbiased values for each evaluation; runs of least and runs of
 greatest values make the bands. Documents with equal sets are one node. Nodes that share a band are compared
 with one node of the band, not with each other; sets are compared in full before a link counts. Rounds with
-other band leaders follow, only where a band still spans several components, and what then still stands
-apart within a band is compared pair by pair, so no candidate of the bands is left out.
+other band leaders follow, only where a band still spans several components. What then still stands apart is
+compared in blocks, so no candidate of the bands is left out.
 
 With 44 bands of 6 values a pair of similarity 0.8 shares a band but for about 1.5 in a million.
 
@@ -18,6 +18,7 @@ empty result; extra columns are ignored by ``near_duplicates`` and kept by ``dro
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ from weft.llm.common import durable, table
 BANDS, ROWS = 44, 6
 PERCENT = 80
 LEADER_ROUNDS = 3
+#: Nodes compared at once where bands still span several components.
+BLOCK = 512
 _WORD_CACHE = 400_000
 
 
@@ -156,6 +159,45 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components between the nodes of two blocks (x and y; one block: x alone), one for each two components."""
+    x, y = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
+    size = pdf["set"].map(len).to_numpy() // 8
+    token = np.unique(np.frombuffer(b"".join(pdf["set"]), np.int64), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(pdf)), size)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    at_x, at_y = (np.flatnonzero((pdf["side"] != k).to_numpy()) for k in (2, 1))
+    for k in range(0, int(token.max(initial=-1)) + 1, 4096):
+        mine = (token >= k) & (token < k + 4096)
+        m = np.zeros((len(pdf), 4096), np.float32)
+        m[row[mine], token[mine] - k] = 1
+        shared += m[at_x] @ m[at_y].T
+    total = size[at_x][:, None] + size[at_y][None, :] - shared
+    label_x, label_y = x["label"].to_numpy(), y["label"].to_numpy()
+    i, j = np.nonzero((100 * shared >= percent * total) & (label_x[:, None] != label_y[None, :]))
+    found = pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j], "la": label_x[i], "lb": label_y[j]})
+    return found.drop_duplicates(["la", "lb"])[["a", "b"]]
+
+
+def _cluster_links(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that stand in different components although bands connect them.
+
+    Such nodes form clusters. A cluster is dealt to blocks of BLOCK nodes, and every two blocks are compared as one
+    matrix product, so a cluster of any size is spread over tasks of bounded size and only links leave them.
+    """
+    split = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead")).filter("lo <> hi")
+    rest = durable(state.join(split.select("key", "lead"), "key").select("node", "lead", "label").distinct())
+    clusters = components(rest.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()).withColumnRenamed("label", "cluster")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    nodes = rest.select("node", "label").distinct().join(clusters, "node").join(blocks, "cluster")
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    met = nodes.select("cluster", "node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
+    # A node stands in its own block's pair once, on both sides.
+    kind = dict(state.dtypes)["node"]
+    return met.join(sets, "node").groupBy("cluster", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
@@ -175,26 +217,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, ba
             state = banded.withColumn("label", F.col("node"))
         else:
             state = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        size = F.struct("n_shingles", "label", "node")
-        if turn < LEADER_ROUNDS:
+        if turn == LEADER_ROUNDS:
+            new = durable(_cluster_links(state, sets, percent))
+        else:
             # A band's leader: its least node at first, then drawn by a hash.
             rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
             lead = state.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "label", "n_shingles")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
             found = state.join(lead.select("key", "lead"), "key").filter("label <> lead.label")
-            pairs = found.filter(100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        else:
-            split = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            rest = state.join(split, "key").select("key", size.alias("x"))
-            pairs = rest.join(rest.select("key", F.col("x").alias("y")), "key").filter("x.node < y.node AND x.label <> y.label")
-            pairs = pairs.filter(100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        if pairs.isEmpty():
+            pairs = found.filter(100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = durable(pairs)
+            new = durable(_linked(pairs, sets, percent))
+            seen = pairs if seen is None else seen.unionByName(pairs)
+        if new.isEmpty():
             continue
-        new = durable(_linked(pairs, sets, percent))
-        seen = pairs if seen is None else seen.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     out = signed.join(nodes, "set_hash", "left")
