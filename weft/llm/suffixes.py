@@ -2,8 +2,8 @@
 
 ``suffix_array`` sorts a byte string: suffixes are classified, the leftmost-smaller (LMS) ones are sorted by naming
 the substrings between them and recurring on the names, and all others are induced from those in two linear passes.
-The first level, where the alphabet is small, works bucket by bucket on numpy arrays; deeper levels, at most a third
-as long on ordinary text and with many symbols, on plain lists.
+The first level, where the alphabet is small, is induced bucket by bucket; the names' levels, with many symbols, are put
+in order by the symbols up to the next LMS suffix and the place of that. All steps work on whole numpy arrays.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(run, append=n))
 
 
-def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
-    """A name for each LMS substring, in their order (by symbols and types; a substring ends with the next LMS symbol)."""
+def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """A name for each substring from ``lms`` to ``end``, in their order by symbols and types, and the number of names."""
     n = len(t)
     sym = np.concatenate([(t.astype(np.uint64) << np.uint64(1)) + small + np.uint64(2), np.zeros(8, np.uint64)])
-    end = np.append(lms[1:] + 1, n)
     bits = np.uint64(int(sym.max()).bit_length())
     take = int(64 // int(bits))
     name = np.zeros(len(lms), np.int64)
@@ -35,7 +34,7 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarra
             here = at + k < end[todo]
             key = (key << bits) | np.where(here, sym[np.minimum(at + k, n)], np.uint64(0))
         # Refine: equal names so far are told apart by the next symbols.
-        order = np.lexsort((key, name[todo]))
+        order = np.lexsort((key, name[todo])) if len(todo) < len(lms) else np.argsort(key, kind="stable")
         a, b = name[todo][order], key[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         first = np.concatenate([[True], a[1:] != a[:-1]])
@@ -62,65 +61,21 @@ def _any_in_group(group: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return np.isin(group, hot)
 
 
-def _induce_lists(s: list[int], small: list[bool], lms_sorted: list[int], symbols: int) -> list[int]:
+def _sort_names(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names: recur on its own LMS substrings, then order every suffix by its symbols up to
+    the next LMS one and the place of that."""
     n = len(s)
-    count = [0] * (symbols + 1)
-    for c in s:
-        count[c + 1] += 1
-    for c in range(symbols):
-        count[c + 1] += count[c]
-    sa = [-1] * n
-    tail = count[1:]
-    for i in reversed(lms_sorted):
-        tail[s[i]] -= 1
-        sa[tail[s[i]]] = i
-    head = count[:-1]
-    # The end of the string comes first and induces the last suffix.
-    c = s[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for k in range(n):
-        i = sa[k] - 1
-        if i >= 0 and not small[i]:
-            c = s[i]
-            sa[head[c]] = i
-            head[c] += 1
-    tail = count[1:]
-    for k in range(n - 1, -1, -1):
-        i = sa[k] - 1
-        if i >= 0 and small[i]:
-            c = s[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-    return sa
-
-
-def _sort_lists(s: list[int], symbols: int) -> list[int]:
-    """Suffix array of a list of symbols 0 to symbols - 1."""
-    n = len(s)
-    if symbols == n:
-        sa = [0] * n
-        for i, c in enumerate(s):
-            sa[c] = i
-        return sa
-    small = [False] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or s[i] == s[i + 1] and small[i + 1]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    if not lms:
-        return _induce_lists(s, small, [], symbols)
-    # Sort the substrings by inducing from the unsorted LMS positions, then name them.
-    number = {i: k for k, i in enumerate(lms)}
-    names, last, top = [0] * len(lms), None, -1
-    for i in _induce_lists(s, small, lms, symbols):
-        k = number.get(i)
-        if k is not None:
-            end = lms[k + 1] + 1 if k + 1 < len(lms) else n
-            piece = s[i:end], small[i:end], end == n and k + 1 == len(lms)
-            if piece != last:
-                top, last = top + 1, piece
-            names[k] = top
-    return _induce_lists(s, small, [lms[k] for k in _sort_lists(names, top + 1)], symbols)
+    if n < 2 or int(s.max()) + 1 == n:
+        return np.argsort(s, kind="stable")
+    small = _types(s)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    follows = np.searchsorted(lms, np.arange(n), "right")
+    ends = np.append(lms + 1, n)[follows]
+    names, _ = _names(s, small, np.arange(n), ends)
+    place = np.full(len(lms) + 1, -1, np.int64)
+    if len(lms):
+        place[_sort_names(_names(s, small, lms, np.append(lms[1:] + 1, n))[0])] = np.arange(len(lms))
+    return np.lexsort((place[follows], names))
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarray:
@@ -182,8 +137,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        names, found = _names(t, small, lms)
-        lms = lms[np.array(_sort_lists(names.tolist(), found))]
+        lms = lms[_sort_names(_names(t, small, lms, np.append(lms[1:] + 1, n))[0])]
     return _induce(t, small, lms)
 
 
