@@ -202,8 +202,8 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents with a language that is not in doubt; the columns stay the same."""
     model = learn(docs.filter(~held_out(F.col(id_col))), id_col=id_col, text=text, lang=lang)
-    names = docs.columns
-    return predict_languages(docs, model, id_col=id_col, text=text, keep=names).filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*names)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return predict_languages(own, model, keep=["row"]).filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

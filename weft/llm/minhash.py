@@ -242,8 +242,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, ba
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their component; the columns stay the same."""
-    kept = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text=text).filter("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text=text).filter("kept").select(F.struct(F.col(id_col)).alias("kept")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col)).alias("id"))
+    return rows.join(kept, F.col("id") == F.col("kept"), "left_semi").select("row.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ MIN_LINE_DOCS = 10
 LINE_DOCS_PERCENT = 5
 #: A document is depleted if under this percentage of the words of its distinct lines is left.
 MIN_LEFT_PERCENT = 30
+METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
@@ -73,7 +74,8 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         .drop("_l")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed)
+    # Behind a generator, no filter on a metric is pushed down and its expressions repeated for every reference.
+    return df.withColumn("base_failed", failed).select(*docs.columns, F.inline(F.array(F.struct(*METRICS))))
 
 
 def line_losses(
@@ -107,37 +109,33 @@ def line_losses(
     )
 
 
-def _judged(docs: DataFrame, host: str, text: str) -> DataFrame:
-    own = docs.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_text": F.xxhash64(F.col(text))})
-    df = own.join(line_losses(docs, host, text), ["_host", "_text"], "left").drop("_host", "_text")
+def _judged(own: DataFrame, keep: list[str], losses: DataFrame) -> DataFrame:
+    """The columns ``keep`` of (source, text, ...) with all metrics, the losses and the verdict."""
+    base = base_metrics(own).select(*keep, F.coalesce("source", F.lit("")).alias("_host"), F.xxhash64("text").alias("_text"), *METRICS)
+    df = base.join(losses, ["_host", "_text"], "left")
     depleted = F.coalesce(100 * (F.col("line_words") - F.col("lost_words")) < MIN_LEFT_PERCENT * F.col("line_words"), F.lit(False))
-    return df.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-
-
-METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return df.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """One row per document: its base metrics, the words it loses with frequent lines, and the verdict."""
     own = docs.select(F.col(id_col), F.col(host).alias("source"), F.col(text).alias("text"))
-    base = base_metrics(own).select(id_col, F.coalesce("source", F.lit("")).alias("_host"), F.xxhash64("text").alias("_text"), *METRICS)
-    df = base.join(line_losses(own).drop("lost_lines"), ["_host", "_text"], "left")
-    depleted = F.coalesce(100 * (F.col("line_words") - F.col("lost_words")) < MIN_LEFT_PERCENT * F.col("line_words"), F.lit(False))
-    return df.select(
-        id_col, *METRICS, F.coalesce("line_words", F.lit(0)).alias("line_words"), F.coalesce("lost_words", F.lit(0)).alias("lost_words"), (~F.col("base_failed") & ~depleted).alias("kept")
-    )
+    df = _judged(own, [id_col], line_losses(own).drop("lost_lines"))
+    return df.select(id_col, *METRICS, F.coalesce("line_words", F.lit(0)).alias("line_words"), F.coalesce("lost_words", F.lit(0)).alias("lost_words"), "kept")
 
 
 def clean_documents(docs: DataFrame, *, host: str = "source", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, without their frequent lines; the columns stay the same."""
     names = docs.columns
-    keep = _judged(base_metrics(docs, text), host, text).filter("kept")
-    lost = F.col("lost_lines")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(lost, _line_hash(x))), "\n")
-    keep = keep.withColumn(text, F.when(F.size(lost) > 0, left).otherwise(F.col(text)))
+    own = docs.select(F.struct(*names).alias("row"), F.col(host).alias("source"), F.col(text).alias("text"))
+    kept = _judged(own, ["row"], line_losses(own)).filter("kept").select("row", "lost_lines")
+    lost, t = F.col("lost_lines"), F.col("row")[text]
+    left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(lost, _line_hash(x))), "\n")
+    kept = kept.select("row", F.when(F.size(lost) > 0, left).otherwise(t).alias("clean"))
+    new = {text: F.col("clean")}
     if n_chars in names:
-        keep = keep.withColumn(n_chars, F.length(text).cast(dict(docs.dtypes)[n_chars]))
-    return keep.select(*names)
+        new[n_chars] = F.length("clean").cast(dict(docs.dtypes)[n_chars])
+    return kept.select(*(new.get(n, F.col("row")[n]).alias(n) for n in names))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

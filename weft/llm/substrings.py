@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -309,9 +310,10 @@ def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text: str, keep: list[str]) -> DataFrame:
+    """(row, data, spans): the columns ``keep`` as one, the text's bytes, and the spans to remove."""
     spans = repeated_spans(docs, id_col=id_col, text=text)
-    own = docs.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_data"))
-    return own.join(spans, own["_id"] == spans["doc"], "left").drop("_id", "doc").withColumnRenamed("spans", "_spans")
+    own = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+    return own.join(spans, own["id"] == spans["doc"], "left").select("row", "data", "spans")
 
 
 def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,12 +321,12 @@ def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
     df = _with_spans(docs, id_col, text, [id_col])
 
     def run(batches):
-        for b in slices(batches, "_data"):
-            data = b.column("_data").to_pylist()
-            kept = [_cut(d, p) for d, p in zip(data, b.column("_spans").to_pylist())]
+        for b in slices(batches, "data"):
+            data = b.column("data").to_pylist()
+            kept = [_cut(d, p) for d, p in zip(data, b.column("spans").to_pylist())]
             yield pa.record_batch(
                 {
-                    id_col: b.column(id_col),
+                    id_col: pc.struct_field(b.column("row"), id_col),
                     "n_bytes": pa.array([len(d) for d in data], pa.int64()),
                     "n_removed": pa.array([len(d) - len(k[0]) for d, k in zip(data, kept)], pa.int64()),
                     "n_spans": pa.array([k[1] for k in kept], pa.int64()),
@@ -344,12 +346,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     names = docs.columns
 
     def run(batches):
-        for b in slices(batches, "_data"):
-            cut = [None if t is None else _cut(d, p)[0].decode("utf-8", "ignore") for t, d, p in zip(b.column(text).to_pylist(), b.column("_data").to_pylist(), b.column("_spans").to_pylist())]
-            new = {text: pa.array(cut, pa.string())}
-            if n_chars in names:
-                new[n_chars] = pa.array([None if c is None else len(c) for c in cut], b.column(n_chars).type)
-            yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in names], names=names)
+        for b in slices(batches, "data"):
+            old = {n: pc.struct_field(b.column("row"), n) for n in names}
+            cut = [None if t is None else _cut(d, p)[0].decode("utf-8", "ignore") for t, d, p in zip(old[text].to_pylist(), b.column("data").to_pylist(), b.column("spans").to_pylist())]
+            old[text] = pa.array(cut, pa.string())
+            if n_chars in old:
+                old[n_chars] = pa.array([None if c is None else len(c) for c in cut], old[n_chars].type)
+            yield pa.RecordBatch.from_arrays(list(old.values()), names=names)
 
     return df.mapInArrow(run, docs.schema)
 
