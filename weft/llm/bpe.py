@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import table
 
@@ -208,7 +209,7 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text:
 
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of the text's ids (array of int); a null text has none."""
-    schema = docs.drop(ids).schema.add(ids, "array<int>")
+    schema = docs.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         bpe = encoder(path)

@@ -3,7 +3,8 @@
 Tokens are structural tags and whole text blocks, told apart by their role: the path of elements they stand in.
 Tokens of a host that have the same occurrence vector over its distinct pages form an equivalence class; the
 vector is kept as an order-free hash, so classes of a host of any size are found by plain aggregation. Classes
-that are large and frequent are valid; nested by their paths they are the host's template. What a page holds
+that are large and frequent are valid; as their tokens' paths nest, so do they, and together they are the host's
+template. What a page holds
 in the template's remaining slots is its data, and the main text is the data outside slots that serve as menu,
 header, footer, sidebar, notice, advert, form or comments.
 
@@ -141,9 +142,9 @@ class Page:
         return found
 
     def main_text(self, template: frozenset[int]) -> str:
-        """The data in the slots for main text; a text block is template if its class is and its element's path is too."""
+        """The data in the slots for main text, without text blocks of the template."""
         articles = any(b[4] and not b[3] for b in self.blocks)
-        return " ".join(b[2] for b in self.blocks if not b[3] and (b[4] or not articles) and not (b[0] in template and (not b[1] or b[1] in template)))
+        return " ".join(b[2] for b in self.blocks if not b[3] and (b[4] or not articles) and b[0] not in template)
 
 
 def url_host(url: Column) -> Column:

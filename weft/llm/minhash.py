@@ -251,5 +251,23 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+#: All pairs by shared shingles, then everything reachable: brute force without hashing.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS x FROM d),
+n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(x) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id,
+       n.doc_id <= coalesce(min(r.b), n.doc_id) AS kept
+FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
 QUERIES = {"op7_minhash": op7_minhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_minhash": OP7_SQL}

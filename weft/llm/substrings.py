@@ -361,5 +361,21 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
+#: All strings of 100 bytes (200 hexadecimal digits), grouped as they are: brute force without anchors or arrays.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS x FROM d, unnest(range(0, n - 99)) AS u(i)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS k
+      FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS first FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, n, n FROM d),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS p FROM e),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a, b) AS kept,
+             sum(b - a) AS n_removed, count(*) - 1 AS n_spans FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id)
+"""
+
 QUERIES = {"op2_suffix_array_dedup": op2_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_suffix_array_dedup": OP2_SQL}
