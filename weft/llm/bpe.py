@@ -47,9 +47,7 @@ def _byte_letters() -> list[str]:
 class WordBPE:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, *, cache_entries: int = 500_000, cache_base: int = 150_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, *, cache_entries: int = 300_000, cache_base: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,13 +70,21 @@ class WordBPE:
         order = np.argsort(key, kind="stable")
         self._keys, self._rank = key[order], order.astype(np.int32)
         self._merged = np.array([vocab[a + b] for a, b in pairs], np.uint32)[order]
-        # Texts beyond Latin-1 are normalised and split by the library's own rules.
-        self._rules = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         self._cache: dict = {i: i.to_bytes(4, "little") for i in self._special.values()}
         self._most, self._base = cache_entries, cache_base
 
     # -- words -----------------------------------------------------------------------------------
 
+    @property
+    def _rules(self):
+        """The library's own rules, by which texts beyond Latin-1 are normalised and split; loaded when first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
+
     def _words(self, text: str) -> list:
         """The words of a text in lower case; those of texts beyond Latin-1 as bytes, special tokens as their ids."""
         if "<|" in text and self._split_special is not None:
@@ -159,8 +165,8 @@ class WordBPE:
             self._cache.update((i, i.to_bytes(4, "little")) for i in self._special.values())
         lists = [self._words(t) if t else [] for t in texts]
         new = list(set().union(*lists).difference(self._cache))
-        for k in range(0, len(new), 100_000):
-            self._learn(new[k : k + 100_000])
+        for k in range(0, len(new), 50_000):
+            self._learn(new[k : k + 50_000])
         get = self._cache.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
@@ -175,7 +181,7 @@ def encoder(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that a part's texts take about ``most_bytes`` at most."""
     for batch in batches:
         size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -32,7 +32,7 @@ PERCENT = 80
 LEADER_ROUNDS = 3
 #: Nodes compared at once where bands still span several components.
 BLOCK = 512
-_WORD_CACHE = 400_000
+_WORD_CACHE = 150_000
 
 
 class _WordHashes(dict):
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, n: int, *, bands: int = BANDS, rows: int = ROWS)
                     "bands": pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
+        _hashes.clear()  # workers live on into stages that need their memory
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n_shingles long, set_hash binary, bands array<long>")
 
@@ -115,6 +116,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
             yield pa.record_batch({"node": b.column("node"), "set": pa.array([shingle_set(t, n).tobytes() for t in b.column("text").to_pylist()], pa.binary())})
+        _hashes.clear()
 
     return texts.mapInArrow(run, f"node {dict(texts.dtypes)['node']}, set binary")
 
