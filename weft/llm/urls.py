@@ -126,12 +126,54 @@ def judge_urls(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url: s
     scores = durable(score_urls(own.filter("s IS NOT NULL"), ratios))
     least = threshold(labelled.join(scores, "s"))
     passed = F.coalesce(F.col("score") >= least, F.lit(False))
-    return own.join(scores, "s", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(passed, "allow").otherwise("block")).alias("verdict"), "score")
+    return own.join(scores, "s", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(passed, "allow").otherwise("block")).alias("verdict"), F.round("score", 6).alias("score"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def _level_sql(k: int) -> str:
+    p = lambda own, context, lower: f"(c.{own} + {SMOOTHING} * coalesce(l.{lower}, {1 / CHARACTERS})) / (greatest(coalesce(x.{own}, 0), c.{own}) + {SMOOTHING})"
+    return f"""m{k} AS (SELECT c.gram, {p("yes", "cy", "py")} AS py, {p("no", "cn", "pn")} AS pn FROM c
+  LEFT JOIN c x ON x.gram = left(c.gram, {k}) LEFT JOIN m{k - 1} l ON l.gram = right(c.gram, {k}) WHERE length(c.gram) = {k + 1})"""
+
+
+def _rules_sql(out: int) -> str:
+    case = ""
+    for r in sorted(RULES, key=lambda x: -len(x[0])):
+        h, _, path = r[0].partition("/")
+        case += f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{path}') THEN '{r[out]}'"
+    return f"CASE{case} END"
+
+
+OP4_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, {_rules_sql(0)} AS rule, {_rules_sql(1)} AS ruled,
+             CASE WHEN host <> '' OR path <> '' THEN chr(2) || host || path || chr(3) END AS s FROM p),
+lab AS (SELECT s, ruled = 'allow' AS acc, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1, 2),
+pl AS (SELECT s, n, acc, unnest(range(2, length(s) + 1)) AS p FROM lab WHERE length(s) > 2),
+g AS (SELECT substr(s, p - k, k + 1) AS gram, n, acc FROM pl, unnest(range(0, {ORDERS})) AS t(k) WHERE p > k),
+c0 AS (SELECT gram, CAST(sum(CASE WHEN acc THEN n ELSE 0 END) AS DOUBLE) AS yes, CAST(sum(CASE WHEN acc THEN 0 ELSE n END) AS DOUBLE) AS no FROM g GROUP BY gram),
+c AS (SELECT * FROM c0 WHERE yes + no >= greatest({MIN_COUNT}, (SELECT coalesce(sum(yes + no), 0) FROM c0 WHERE length(gram) = 1) / {MODEL_SIZE})),
+z AS (SELECT sum(yes) AS y, sum(no) AS n FROM c WHERE length(gram) = 1),
+m0 AS (SELECT gram, (yes + {SMOOTHING / CHARACTERS}) / (y + {SMOOTHING}) AS py, (no + {SMOOTHING / CHARACTERS}) / (n + {SMOOTHING}) AS pn FROM c, z WHERE length(gram) = 1),
+{", ".join(_level_sql(k) for k in range(1, ORDERS))},
+m AS ({" UNION ALL ".join(f"SELECT gram, ln(py / pn) AS ratio FROM m{k}" for k in range(ORDERS))}),
+sp AS (SELECT s, unnest(range(2, length(s) + 1)) AS p FROM (SELECT DISTINCT s FROM r WHERE length(s) > 2)),
+sc AS (SELECT s, avg(coalesce({", ".join(f"m{k}.ratio" for k in reversed(range(ORDERS)))}, 0)) AS score
+       FROM sp {" ".join(f"LEFT JOIN m m{k} ON m{k}.gram = CASE WHEN p > {k} THEN substr(sp.s, p - {k}, {k + 1}) END" for k in range(ORDERS))} GROUP BY s),
+b AS (SELECT greatest({-LIMIT * STEPS}, least({LIMIT * STEPS}, floor(score * {STEPS}))) AS b, sum(CASE WHEN acc THEN n ELSE 0 END) AS yes,
+             sum(CASE WHEN acc THEN 0 ELSE n END) AS no FROM lab JOIN sc USING (s) GROUP BY 1),
+w AS (SELECT x, coalesce(sum(yes) FILTER (b < x), 0) / (SELECT sum(yes) FROM b) + 1 - coalesce(sum(no) FILTER (b < x), 0) / (SELECT sum(no) FROM b) AS wrong
+      FROM range({-LIMIT * STEPS}, {LIMIT * STEPS + 2}) AS t(x), b GROUP BY x),
+least_score AS (SELECT x / {STEPS}.0 AS v FROM w WHERE wrong IS NOT NULL ORDER BY wrong, abs(x), x LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT v FROM least_score), '-infinity'::DOUBLE) THEN 'allow' ELSE 'block' END) AS verdict,
+       round(score, 6) AS score
+FROM r LEFT JOIN sc USING (s)
+"""
+
 QUERIES = {"op4_url_filter": op4_url_filter}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_url_filter": OP4_SQL}
