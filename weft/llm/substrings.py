@@ -38,7 +38,7 @@ from weft.llm.suffixes import common_prefixes, suffix_array
 
 WINDOW, ANCHOR = 100, 32
 #: Text of one bucket, fragments of one shard, text of one pass and of one flush, in bytes.
-BUCKET_BYTES, SHARD_BYTES, PASS_BYTES, FLUSH_BYTES = 32_000_000, 1_000_000, 1_000_000, 12_000_000
+BUCKET_BYTES, SHARD_BYTES, PASS_BYTES, FLUSH_BYTES = 32_000_000, 1_000_000, 262_144, 12_000_000
 #: Different surroundings of an anchor that a shard takes.
 MOST_FRAGMENTS = 2_000
 NULL_ID = -(1 << 63)
