@@ -77,3 +77,17 @@ def run_batch(spark: SparkSession, paths: list[str], out: str, *, modes: str = "
         one = factorfile.write_factors(factors, "stem", f"{out}/{mode}").withColumn("mode", F.lit(mode))
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def factorize_with_reference_files(reference: DataFrame, target: DataFrame, *, with_rc: bool = True, rc_mode: str = "reference") -> DataFrame:
+    """The factors of all target records after all reference records, as one joined text.
+
+    Targets may copy from references and from earlier targets. Starts are absolute; sentinels are flagged, and
+    ``target_start`` counts from the first target.
+    """
+    first = reference.count()
+    ordered = lambda df, side: df.select(F.lit("all").alias("joined"), F.struct(F.lit(side).alias("side"), "file", "seq_idx").alias("place"), "seq")
+    both = ordered(reference, 0).unionByName(ordered(target, 1))
+    got = factorize.factorize_multiple(both, "joined", "place", "seq", with_rc=with_rc, mode=rc_mode, start_sequence=first)
+    offset = reference.agg(F.coalesce(F.sum(F.length("seq") + 1), F.lit(0))).first()[0]
+    return got.drop("joined").withColumn("target_start", F.col("start") - offset)
