@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import SPACES, table, words
+from weft.llm.common import SPACES, durable, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -94,7 +94,7 @@ def line_losses(
         "_text",
         F.explode(F.array_distinct(F.transform(_lines_with_words(F.col("_t")), lambda x: F.struct(_line_hash(x).alias("h"), F.size(words(x)).alias("w"))))).alias("l"),
     ).select("_host", "_text", "l.h", "l.w")
-    lines = lines.groupBy("_host", "_text", "h").agg(F.max("w").alias("w"))
+    lines = durable(lines.groupBy("_host", "_text", "h").agg(F.max("w").alias("w")))  # read twice
     per_host = keyed.groupBy("_host").agg(F.countDistinct("_text").alias("n_docs"))
     counts = lines.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
     frequent = counts.filter(F.col("n") > min_docs).join(per_host, "_host").filter(100 * F.col("n") > percent * F.col("n_docs")).select("_host", "h", F.lit(True).alias("lost"))
