@@ -234,6 +234,29 @@ factors AS (SELECT id, start, length, ref, is_rc FROM f WHERE length > 0)"""
 def _rc_sql(texts: str = f"SELECT item_id AS id, {_DNA} AS s, 0 AS i0 FROM benchmark") -> str:
     return _RC.replace("{texts}", texts)
 
+#: The forward rule of mode "reference": the longest match at a length after which the work string w branches, extended.
+_PARITY = f"""WITH RECURSIVE t AS (SELECT item_id AS id, {_DNA} AS s FROM benchmark),
+t2 AS (SELECT id, s, s || '$' || translate(reverse(s), 'ACGT', 'TGCA') || '#' AS w FROM t),
+f AS (
+ SELECT id, s, w, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS ref, false AS is_rc FROM t2
+ UNION ALL
+ SELECT id, s, w, i, CASE WHEN fl >= 1 AND lr <= fl THEN fl WHEN fl >= 1 OR lr > 1 THEN lr ELSE 1 END,
+   CASE WHEN fl >= 1 AND lr <= fl THEN fr
+        WHEN fl >= 1 OR lr > 1 THEN instr(s, translate(reverse(substr(s, i + 1, lr)), 'ACGT', 'TGCA')) - 1 ELSE i END,
+   NOT (fl >= 1 AND lr <= fl) AND (fl >= 1 OR lr > 1)
+ FROM (SELECT *, CASE WHEN ds = 0 THEN 0 ELSE list_max(list_filter(range(ds, least(i - fr, length(s) - i) + 1),
+         lambda k: substr(s, i + 1, k) = substr(s, fr + 1, k))) END AS fl
+  FROM (SELECT *, instr(s, substr(s, i + 1, ds)) - 1 AS fr
+   FROM (SELECT *, coalesce(list_max(list_filter(range(1, lf + 1), lambda d: list_unique(list_transform(
+            list_filter(range(1, length(w) - d + 1), lambda p: substr(w, p, d) = substr(s, i + 1, d)),
+            lambda p: substr(w, p + d, 1))) >= 2)), 0) AS ds
+    FROM (SELECT id, s, w, start + length AS i,
+      coalesce(list_max(list_filter(range(1, least(start + length, length(s) - (start + length)) + 1),
+        lambda k: contains(left(s, start + length), substr(s, start + length + 1, k)))), 0) AS lf,
+      coalesce(list_max(list_filter(range(1, least(start + length, length(s) - (start + length)) + 1),
+        lambda k: contains(left(s, start + length), translate(reverse(substr(s, start + length + 1, k)), 'ACGT', 'TGCA')))), 0) AS lr
+      FROM f WHERE start + length < length(s))))))
+SELECT id, start, length, ref, is_rc FROM f WHERE length > 0"""
 
 # Sentinels are unlike everything else: code points from 1000 up, one for each boundary.
 _MULTI = _base(
@@ -274,8 +297,19 @@ grid AS (SELECT y_bin, x_bin, sum(CASE WHEN is_rc THEN 0.0 ELSE bp END) AS forwa
   FROM cell WHERE x_bin BETWEEN 0 AND {GRID_BINS - 1} AND y_bin BETWEEN 0 AND {GRID_BINS - 1} GROUP BY 1, 2)
 SELECT y_bin, x_bin, round(CAST(forward AS DOUBLE), 6) AS forward, round(CAST(rc AS DOUBLE), 6) AS rc,
   round(log2((forward / (SELECT sum(forward) FROM grid) + 1e-9) / (rc / (SELECT sum(rc) FROM grid) + 1e-9)), 6) AS bias FROM grid"""
+_HEAT_SQL = f"""{_rc_sql()},
+m AS (SELECT floor(log2(greatest(1, min(length)))) AS lo, ceil(log2(max(length))) AS hi, max(start) AS far FROM factors),
+b AS (SELECT k, pow(2, lo + (hi - lo) * k / n) AS edge, sqrt(pow(2, lo + (hi - lo) * k / n) * pow(2, lo + (hi - lo) * (k + 1) / n)) AS center, n
+      FROM (SELECT *, CAST(greatest(1, (hi - lo) * 4) AS INT) AS n, unnest(range(0, CAST(greatest(1, (hi - lo) * 4) AS INT) + 1)) AS k FROM m)),
+cell AS (SELECT CAST(least((SELECT count(*) FROM b WHERE edge <= length) - 1, (SELECT max(n) FROM b) - 1) AS INT) AS length_bin,
+                CAST(least(floor(start / ((SELECT far FROM m) / 50)), 49) AS INT) AS position_bin, is_rc FROM factors),
+h AS (SELECT length_bin, position_bin, is_rc, count(*) AS n FROM cell GROUP BY 1, 2, 3),
+c AS (SELECT is_rc, length, sum(count(*)) OVER (PARTITION BY is_rc ORDER BY length DESC) / sum(count(*)) OVER (PARTITION BY is_rc) AS share FROM factors GROUP BY 1, 2),
+near AS (SELECT is_rc, k, arg_min(share, (abs(length - center), length)) AS share FROM c, b WHERE k < n GROUP BY 1, 2)
+SELECT length_bin, position_bin, h.is_rc, h.n, round(h.n / share, 6) AS weighted FROM h JOIN near ON near.k = length_bin AND near.is_rc = h.is_rc"""
 
 ORACLES: dict[str, str] = {
+    "space_scale_heatmap": _HEAT_SQL,
     "lz_factors_text": f"{_base()} SELECT * FROM factors",
     "lz_factors_sql": f"{_base()} SELECT * FROM factors",
     "lz_count_text": f"{_base()} SELECT id, count(*) AS n_factors FROM factors GROUP BY id",
@@ -295,6 +329,7 @@ ORACLES: dict[str, str] = {
     "dna_prepare_no_rc": _prepare_sql(False),
     "dna_prepare_w_rc": _prepare_sql(True),
     "dna_rc_factors_exact": f"{_rc_sql()} SELECT * FROM factors",
+    "dna_rc_factors_parity": _PARITY,
     "dna_rc_count": f"{_rc_sql()} SELECT id, count(*) AS n_factors FROM factors GROUP BY id",
     "dna_rc_factors_reference": _rc_sql(f"SELECT b.item_id AS id, r.s || '$' || b.s AS s, length(r.s) + 1 AS i0 FROM (SELECT item_id, {_DNA} AS s FROM benchmark WHERE item_id <> 0) b, (SELECT {_DNA} AS s FROM benchmark WHERE item_id = 0) r")
     + " SELECT * FROM factors",
