@@ -190,6 +190,12 @@ def test_codes_tell_languages_apart(n):
 def test_templates_and_slots():
     page = lambda k: f"<html><body><header>Site</header><div id='menu'><a>Home</a></div><div class=post><h2>T{k}</h2><p>Body {k}<span>!</span><p>Share this</div><aside>more</aside><div class='comment-list'>c</div><form>f</form></body></html>"
     assert html.Page(page(1)).main_text(frozenset()) == "T1 Body 1! Share this"
+    cases = {
+        "<div style=\"overflow: hidden\">a</div>b": "a b",
+        "<article><header class=\"entry-header\"><h1>T</h1></header><p>x</p><footer>f</footer></article><div class=site-header>n</div>": "T x",
+        "<p>1<p>2<ul><li>3<li>4</ul><div id=comments>c<div>d</div></div>e": "1 2 3 4 e",
+    }
+    assert {k: html.Page(k).main_text(frozenset()) for k in cases} == cases
 
 
 def test_templates_of_a_host(spark):

@@ -39,8 +39,9 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 SKIPPED = set("aside button canvas datalist dialog footer form head iframe input menu nav noscript object script search select style svg template textarea title video audio".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = set(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related respond replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus footer form menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related respond replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+HEADERS = {"header", "masthead"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,19 +51,28 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_ROLES_AND_NAMES = ("class", "hidden", "id", "role")
 _NAME = re.compile(r"[a-z]+")
 
 
-def _bare(tag: str, attributes: str) -> bool:
-    """Does this element hold anything but main text?"""
-    if tag in SKIPPED:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """The attributes that tell an element's use, in lower case."""
+    found = ((name.lower(), "".join(value).lower()) for name, *value in _ATTRIBUTE.findall(text)) if text else ()
+    return [x for x in found if x[0] in _ROLES_AND_NAMES]
+
+
+def _bare(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
+    """Does this element hold anything but main text? Headers do, but for those of an article."""
+    if tag in SKIPPED or tag == "header" and not in_article:
         return True
-    if attributes:
-        for name, *value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(value).lower()
-            if name == "hidden" or name == "role" and value in ROLES or name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
+    for name, value in attributes:
+        if name in ("class", "id"):
+            names = _NAME.findall(value)
+            if not NAMES.isdisjoint(names) or not in_article and not HEADERS.isdisjoint(names):
                 return True
+        elif name == "hidden" or value in ROLES:
+            return True
     return False
 
 
@@ -86,27 +96,34 @@ class Page:
             tag = m[3] or m[6]
             if tag is None:
                 if m[1]:  # its content is never main text
-                    self._element(m[1].lower(), "")
+                    self._element(m[1].lower(), [])
                 continue
             tag, closing = tag.lower(), m[2] or m[5]
             if tag in BLOCK:
                 self._flush(text)
             if closing:
+                if tag not in BLOCK and any(x[0] == tag for x in self._stack):
+                    self._flush(text)  # an inline element that is no main text
                 self._close(tag)
-            elif tag in BLOCK or tag in SKIPPED or m[4] and _bare(tag, m[4]):
-                self._open(tag, m[4] or m[7] or "")
+            else:
+                text_of = m[4] or m[7] or ""
+                attributes = _attributes(text_of)
+                bare = _bare(tag, attributes, self._stack[-1][3])
+                if tag in BLOCK or bare:
+                    if tag not in BLOCK:
+                        self._flush(text)
+                    self._open(tag, attributes, bare, text_of.endswith("/"))
         if at < len(html):
             text.append(html[at:])
         self._flush(text)
 
-    def _element(self, tag: str, attributes: str) -> int:
+    def _element(self, tag: str, attributes: list[tuple[str, str]]) -> int:
         parent = self._stack[-1][1]
-        role = " ".join("=".join(x).lower() for x in _ATTRIBUTE.findall(attributes)) if attributes else ""
-        path = xxhash.xxh64_intdigest(f"{tag} {role}".encode(), parent) >> 1
+        path = xxhash.xxh64_intdigest(f"{tag} {attributes}".encode(), parent) >> 1
         self.tags.append((path, parent))
         return path
 
-    def _open(self, tag: str, attributes: str) -> None:
+    def _open(self, tag: str, attributes: list[tuple[str, str]], bare: bool, closed: bool) -> None:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and any(x[0] == tag for x in self._stack[-3:]):
             # The next paragraph, item, row or cell ends the last one, unless a list or table stands between.
             for k in (1, 2, 3):
@@ -116,9 +133,9 @@ class Page:
                 if self._stack[-k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
                     break
         path = self._element(tag, attributes)
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not closed:
             top = self._stack[-1]
-            bare = top[2] or _bare(tag, attributes) and tag not in ("html", "body") or tag == "header" and not top[3]
+            bare = top[2] or bare and tag not in ("html", "body")
             self._stack.append((tag, path, bare, top[3] or tag == "article" and not bare))
 
     def _close(self, tag: str) -> None:
