@@ -29,7 +29,7 @@ from weft.llm.common import durable, table
 
 BANDS, ROWS = 44, 6
 PERCENT = 80
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 #: Nodes compared at once where bands still span several components.
 BLOCK = 512
 _WORD_CACHE = 150_000
