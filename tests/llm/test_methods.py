@@ -93,6 +93,17 @@ def test_blocks_find_links_left_over(docs, texts, monkeypatch):
     against_sql(minhash.near_duplicates(docs, shingle=2), minhash.OP7_SQL, texts)
 
 
+def test_components_of_long_chains(spark):
+    order = random.Random(4).sample(range(1000, 1400), 400)
+    chains = [order, [1, *range(301, 1, -1)], [2000, 2001]]  # shuffled; the least at the far end of a descending one; a pair
+    links = [(a, b) for c in chains for a, b in zip(c, c[1:])]
+    links += [(3000 + a, 3000 + b) for a in range(16) for b in range(16) if (a ^ b).bit_count() == 1]  # rings
+    got = dict(minhash.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {v: min(c) for c in [*chains, range(3000, 3016)] for v in c}
+    with pytest.raises(RuntimeError):
+        minhash.components(spark.createDataFrame(links, "a long, b long"), max_rounds=1).collect()
+
+
 def test_min_max_values_are_unbiased():
     a, b = np.arange(1, 2001, dtype=np.uint64), np.arange(501, 2501, dtype=np.uint64)
     sets = [minhash._mix(a), minhash._mix(b)]

@@ -141,24 +141,45 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _roots(up: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, up: its least neighbour) to (node, up: the root its pointers lead to, which is the least node of its tree).
+
+    Only two nodes can point at each other: the smaller is a root. From the first step on no pointer leads to a larger
+    node, and every step doubles the pointers' reach.
+    """
+    up = durable(up)
+    for _ in range(max_rounds):
+        jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        far = F.when(F.col("far") == F.col("node"), F.least("node", "up")).otherwise(F.least("up", "far"))
+        new = durable(up.join(jump, "up").select("node", F.col("up").alias("old"), far.alias("up")))
+        up = new.select("node", "up")
+        if new.filter("up <> old").isEmpty():
+            return up
+    raise RuntimeError(f"pointers of components did not settle in {max_rounds} rounds")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links to (node, label): the least node reachable, for every node that has a link.
 
-    Each round takes the least label among the neighbours, then the label's own label. Rounds are written out.
+    Each round points every node to its least neighbour, follows the pointers to their roots and carries the links over
+    to these. At least half of the nodes that still have links go in a round, so rounds grow with the logarithm of the
+    number of nodes, however long a chain is. Rounds are written out.
     """
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = durable(labels)
+    edges, labels = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = durable(step.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("label")))
-        done = new.filter("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if done:
-            break
-    return labels
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        roots = _roots(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), max_rounds)
+        if labels is None:
+            labels = roots.withColumnRenamed("up", "label")
+        else:
+            moved = labels.join(roots.select(F.col("node").alias("label"), "up"), "label", "left")
+            labels = durable(moved.select("node", F.coalesce("up", "label").alias("label")))
+        x, y = roots.select(F.col("node").alias("a"), F.col("up").alias("x")), roots.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        left = edges.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = durable(left.distinct())
+        if edges.isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
