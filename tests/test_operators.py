@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weft.errors import InvalidInputError
 from weft.functions import kernel, sequences, statistics
 from weft.operators import analytics, batch, factorize, planning
+from weft.plans import registry
 from weft.sources import factorfile, fasta
 from weft.streaming import incremental
 
@@ -204,6 +205,36 @@ def test_significance(spark):
     assert {r["length"]: r["rarity"] for r in analytics.rarity_scores(some, curve).collect()} == pytest.approx({0: 1.0, 1: 1.0, 5: 0.2, 6: 0.0})
 
 
+def test_shuffled_controls_take_all_items(spark, tmp_path):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "".join(rng.choices("ab", k=60)) + "abcabd" * (i + 1)) for i in range(5)], "item_id long, text string")
+    df.write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def lengths(text):
+        out, i = [], 0
+        while i < len(text):
+            n = 1
+            while i + n < len(text) and text.find(text[i : i + n + 1], 0, i) >= 0:
+                n += 1
+            out.append(n)
+            i += n
+        return out
+
+    real = {r["item_id"]: lengths(r["text"]) for r in df.collect()}
+    control = [n for r in analytics.shuffle_texts(df, "item_id", "text", registry.SEED).collect() for n in lengths(r["text"])]
+    tail = {n: sum(x >= n for x in control) / len(control) for n in control}
+    n_real = sum(map(len, real.values()))
+    ask = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    curve = ask("significance_curve_shuffled")
+    assert {r["length"]: r["s0"] for r in curve} == pytest.approx(tail) == {r["length"]: r["s0"] for r in ask("significance_tail_shuffled")}
+    assert all(r["expected_fp"] == pytest.approx(n_real * r["s0_upper"], abs=1e-5) for r in curve)
+    assert ask("length_threshold_shuffled")[0]["l_star"] == min((r["length"] for r in curve if r["expected_fp"] <= 1), default=None)
+    assert {r["length"]: r["p_any_ge"] for r in ask("p_any_ge_shuffled")} == pytest.approx({n: 1 - math.exp(-n_real * s) for n, s in tail.items()})
+    rare = ask("rarity_scores_shuffled")
+    assert sorted((r["id"], r["length"]) for r in rare) == sorted((i, n) for i, x in real.items() for n in x)
+    assert all(r["rarity"] == pytest.approx(tail.get(r["length"], 0 if r["length"] > max(tail) else r["rarity"])) for r in rare)
+
+
 def test_clopper_pearson():
     up = statistics.clopper_pearson_upper
     assert up(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100)) and up(100, 100) == 1.0

@@ -77,18 +77,23 @@ def _half(spark, d):
     return f.filter("id % 2 = 0"), f.filter("id % 2 = 1")
 
 
-def _curve(spark, d):
-    real, control = _half(spark, d)
+def _controlled(spark, d):
+    """Factors of all items, and those of all items shuffled."""
+    return _factors(spark, d), _shuffled(spark, d)
+
+
+def _curve(spark, d, pair=_half):
+    real, control = pair(spark, d)
     return A.significance_curve(real, control)
 
 
-def _rarity(spark, d):
-    real, control = _half(spark, d)
+def _rarity(spark, d, pair=_half):
+    real, control = pair(spark, d)
     return A.rarity_scores(real, A.significance_curve(real, control)).select("id", "start", "length", F.round("rarity", 9).alias("rarity"))
 
 
-def _p_any(spark, d):
-    real, control = _half(spark, d)
+def _p_any(spark, d, pair=_half):
+    real, control = pair(spark, d)
     n = real.agg(F.count(F.lit(1)).alias("n_real"))
     return A.significance_curve(real, control).crossJoin(F.broadcast(n)).select("length", F.round(A.p_any_ge(F.col("s0"), F.col("n_real")), 9).alias("p_any_ge"))
 
@@ -192,6 +197,12 @@ QUERIES: dict = {
     "length_threshold": lambda s, d: A.length_threshold(_curve(s, d)),
     "rarity_scores": _rarity,
     "p_any_ge": _p_any,
+    # No SQL repeats the shuffle: these are held by brute force.
+    "significance_curve_shuffled": lambda s, d: _curve(s, d, _controlled).select("length", F.round("s0", 9).alias("s0"), F.round("s0_upper", 9).alias("s0_upper"), F.round("expected_fp", 6).alias("expected_fp")),
+    "significance_tail_shuffled": lambda s, d: _curve(s, d, _controlled).select("length", F.round("s0", 9).alias("s0")),
+    "length_threshold_shuffled": lambda s, d: A.length_threshold(_curve(s, d, _controlled)),
+    "rarity_scores_shuffled": lambda s, d: _rarity(s, d, _controlled),
+    "p_any_ge_shuffled": lambda s, d: _p_any(s, d, _controlled),
     "shuffle_composition": _shuffle_composition,
     "resource_estimate": _estimate,
     "thread_decision": lambda s, d: _sizes(s, d).select("doc_id", planning.thread_decision(F.col("size") * 100, 16).alias("threads")),
