@@ -1,10 +1,11 @@
-"""Best-fit packing of tokenized documents into fixed-length sequences, with certified repacking.
+"""Best-fit packing of tokenized documents into fixed-length sequences, with repacking and reported bounds.
 
 Documents are cut into pieces of at most the capacity. Pieces are dealt at random into groups of bounded
 size, and each group packs its own by best-fit decreasing. Dual feasible functions give each group a lower
-bound of its bin count. Groups with a gap to the bound, and bins with room left while other groups have
-such bins too, give up the bins that are not full; their pieces are dealt anew, into fewer groups, and
-packed again, until one group holds what is left or a round brings no more full bins.
+bound of its bin count, which is only reported (``certified``). Every group, whether it meets its bound or
+not, gives up the bins that are not full; their pieces are dealt anew, into fewer groups, and packed again,
+until one group holds what is left, a round takes under a tenth of the pieces out, or after MAX_ROUNDS rounds.
+The last groups keep all their bins.
 
 Only lengths and checksums move; texts and ids never leave the task that tokenized them.
 
