@@ -150,3 +150,16 @@ def test_run_applies_all(spark, tmp_path, stages):
     got = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in df.collect())
     assert key(got) == key(stages[5])
+
+
+def test_run_writes_between_stages(spark, tmp_path, monkeypatch):
+    spark.range(3).write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append({f.rsplit("/", 2)[1].split("-")[0] for f in docs.inputFiles()})
+        return docs.withColumn("id", docs["id"] + 1)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert sorted(r["id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [3, 4, 5]
+    assert read == [{"documents.parquet"}, {"weft"}, {"weft"}]
