@@ -191,6 +191,15 @@ def test_strand_grid(spark):
     assert got[(0, 0)]["bias"] == pytest.approx(math.log2(0.5 / (1 / 3)), abs=1e-6)
 
 
+def test_registered_grid_holds_long_items(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcd", k=n)) for n in (40, 700, 512)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.QUERIES["strand_bias_grid"](spark, str(tmp_path)).collect()
+    assert sum(r["forward"] + r["rc"] for r in got) == pytest.approx(sum(map(len, texts)), abs=1e-3)
+    assert max(r["x_bin"] for r in got) == 699 // 64
+
+
 def test_significance(spark):
     real = spark.createDataFrame([(x,) for x in (50, 60, 70, 80, 90)], "length long")
     control = spark.createDataFrame([(x,) for x in [1, 2, 3, 4, 5] * 20], "length long")

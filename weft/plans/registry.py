@@ -122,7 +122,11 @@ def _boundaries(spark, d):
 
 
 def _grid(spark, d):
-    g = A.strand_bias_grid(_rc(spark, d), GRID_LENGTH, GRID_BINS)
+    """Cells are as wide as those of GRID_BINS over GRID_LENGTH; a longer sequence gets more of them."""
+    longest = _dna(spark, d).agg(F.max(F.length("seq"))).first()[0] or 0
+    width = GRID_LENGTH // GRID_BINS
+    bins = max(GRID_BINS, -(-longest // width))
+    g = A.strand_bias_grid(_rc(spark, d), bins * width, bins)
     return g.select("y_bin", "x_bin", F.round("forward", 6).alias("forward"), F.round("rc", 6).alias("rc"), F.round("bias", 6).alias("bias"))
 
 
