@@ -234,12 +234,12 @@ def test_shuffled_controls_take_all_items(spark, tmp_path):
     tail = {n: sum(x >= n for x in control) / len(control) for n in control}
     n_real = sum(map(len, real.values()))
     ask = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    curve = ask("significance_curve_shuffled")
-    assert {r["length"]: r["s0"] for r in curve} == pytest.approx(tail) == {r["length"]: r["s0"] for r in ask("significance_tail_shuffled")}
+    curve = ask("significance_curve")
+    assert {r["length"]: r["s0"] for r in curve} == pytest.approx(tail) == {r["length"]: r["s0"] for r in ask("significance_tail")}
     assert all(r["expected_fp"] == pytest.approx(n_real * r["s0_upper"], abs=1e-5) for r in curve)
-    assert ask("length_threshold_shuffled")[0]["l_star"] == min((r["length"] for r in curve if r["expected_fp"] <= 1), default=None)
-    assert {r["length"]: r["p_any_ge"] for r in ask("p_any_ge_shuffled")} == pytest.approx({n: 1 - math.exp(-n_real * s) for n, s in tail.items()})
-    rare = ask("rarity_scores_shuffled")
+    assert ask("length_threshold")[0]["l_star"] == min((r["length"] for r in curve if r["expected_fp"] <= registry.THRESHOLD), default=None)
+    assert {r["length"]: r["p_any_ge"] for r in ask("p_any_ge")} == pytest.approx({n: 1 - math.exp(-n_real * s) for n, s in tail.items()})
+    rare = ask("rarity_scores")
     assert sorted((r["id"], r["length"]) for r in rare) == sorted((i, n) for i, x in real.items() for n in x)
     assert all(r["rarity"] == pytest.approx(tail.get(r["length"], 0 if r["length"] > max(tail) else r["rarity"])) for r in rare)
 
@@ -293,3 +293,28 @@ def test_sql_names(spark):
     sequences.register_sql(spark)
     assert spark.sql("SELECT revcomp('AACG'), sanitize_dna('xaN'), sequence_type('ACGT'), lz_count('abracadabra'), dna_rc_count('ATGCAT')").first()[:] == ("CGTT", "A", "dna", 8, 4)
     assert spark.sql("SELECT * FROM dna_rc_factors('ATGCAT')").count() == 4
+
+
+def test_registered_complexity_and_trend_equal_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    data = [(i, "".join(rng.choices("abcé "[: rng.randint(2, 5)], k=rng.randint(1, 400))), rng.choice(["en", "de"])) for i in range(40)] + [(40, "", "en"), (41, None, "de")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def count(t):
+        n, i = 0, 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t.find(t[i : i + k + 1], 0, i) >= 0:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+
+    got = {r["lang"]: r for r in registry.QUERIES["lz_complexity_by_lang"](spark, str(tmp_path)).collect()}
+    line = {r["lang"]: r for r in registry.QUERIES["trend_fit"](spark, str(tmp_path)).collect()}
+    for lang in ("en", "de"):
+        own = [t.encode() for _, t, x in data if x == lang and t is not None]
+        assert (got[lang]["n_factors"], got[lang]["total_length"]) == (sum(map(count, own)), sum(map(len, own)))
+        x, y = ([math.log10(f(t)) for t in own if t] for f in (len, count))
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        assert (line[lang]["slope"], line[lang]["intercept"]) == pytest.approx((slope, my - slope * mx), abs=2e-6)

@@ -97,30 +97,25 @@ def prepare_sequences(df: DataFrame, group: str, order: str, seq: str, *, with_r
     )
 
 
-def alphabet_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, character, n, first_at): how often each character occurs, and where first.
-
-    Characters are counted inside each row before anything is shuffled: a text becomes one row per distinct character.
-    """
+def _characters(text: str) -> Column:
+    """(character, n, first_at) of each distinct character, in order of appearance, within the row."""
     t = F.col(text)
-    each = F.explode(F.array_distinct(F.split(t, ""))).alias("character")
-    rows = df.select(id_col, text, each).filter("character <> ''")
-    c = F.col("character")
-    n = (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("long")
-    return rows.select(id_col, "character", n.alias("n"), (F.position(c, t) - 1).cast("long").alias("first_at"))
+    each = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+    n = lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    return F.transform(each, lambda c: F.struct(c.alias("character"), n(c).cast("long").alias("n"), (F.position(c, t) - 1).cast("long").alias("first_at")))
+
+
+def alphabet_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, character, n, first_at): how often each character occurs, and where first. Nothing is shuffled."""
+    return df.filter(F.length(text) > 0).select(id_col, F.inline(_characters(text)))
 
 
 def alphabet_profile(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, size, entropy, total_length): distinct characters, Shannon entropy in bits, and length."""
-    p = F.col("n") / F.col("total_length")
-    counts = alphabet_counts(df, id_col, text)
-    w = Window.partitionBy(id_col)
-    return (
-        counts.withColumn("total_length", F.sum("n").over(w))
-        .groupBy(id_col, "total_length")
-        .agg(F.count(F.lit(1)).alias("size"), (-F.sum(p * F.log2(p))).alias("entropy"))
-        .select(id_col, "size", "entropy", "total_length")
-    )
+    """(id, size, entropy, total_length): distinct characters, Shannon entropy in bits, and length. Nothing is shuffled."""
+    rows = df.filter(F.length(text) > 0).select(id_col, F.length(text).cast("long").alias("total_length"), F.transform(_characters(text), lambda c: c["n"]).alias("counts"))
+    share = lambda n: n / F.col("total_length")
+    entropy = F.aggregate("counts", F.lit(0.0), lambda sum_, n: sum_ - share(n) * F.log2(share(n)))
+    return rows.select(id_col, F.size("counts").cast("long").alias("size"), entropy.alias("entropy"), "total_length")
 
 
 def alphabet_top(df: DataFrame, id_col: str, text: str, k: int = 10) -> DataFrame:

@@ -188,6 +188,6 @@ def space_scale_heatmap(factors: DataFrame, *, bin_bp: int = 1_000_000, base: fl
 
 
 def shuffle_texts(df: DataFrame, id_col: str, text: str, seed: int = 0) -> DataFrame:
-    """``df`` with each text's characters in a random order that id, position and seed decide; composition stays."""
-    chars = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c, k: F.struct(F.xxhash64(F.lit(seed), F.col(id_col), k).alias("h"), k.alias("k"), c.alias("c")))
+    """``df`` with each text's characters in a random order that a digest of seed, id and position decides; composition stays."""
+    chars = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c, k: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), k.cast("string"))).alias("h"), k.alias("k"), c.alias("c")))
     return df.withColumn(text, F.array_join(F.transform(F.array_sort(chars), lambda x: x["c"]), ""))

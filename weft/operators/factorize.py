@@ -54,6 +54,26 @@ def _emit(batches: Iterable[pa.RecordBatch], id_col: str, parse: Callable[[Any],
             yield batch(b.column(id_col), rows, factors, index)
 
 
+def _emit_plain(batches: Iterable[pa.RecordBatch], id_col: str, start: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, data) to the factor rows of plain parses, many texts at a time."""
+    for b in batches:
+        texts = b.column("data").to_pylist()
+        for of, at, size, ref in kernel.lz_tables(texts, start):
+            edge = np.flatnonzero(np.diff(of, prepend=-1))
+            index = np.arange(len(of)) - np.repeat(edge, np.diff(edge, append=len(of)))
+            for k in range(0, len(of), BATCH_FACTORS):
+                cut = slice(k, k + BATCH_FACTORS)
+                n = len(of[cut])
+                yield pa.record_batch(
+                    {id_col: b.column(id_col).take(pa.array(of[cut])), "factor_idx": pa.array(index[cut], pa.int32()), "start": pa.array(at[cut]), "length": pa.array(size[cut]), "ref": pa.array(ref[cut]), "is_rc": pa.array(np.zeros(n, bool))}
+                )
+
+
+def _plain_rows(df: DataFrame, id_col: str, data: Column, start: int = 0) -> DataFrame:
+    own = df.select(F.col(id_col), data.alias("data"))
+    return own.mapInArrow(lambda batches: _emit_plain(batches, id_col, start), f"`{id_col}` {dict(df.dtypes)[id_col]}, {FACTOR_FIELDS}")
+
+
 def _factor_rows(df: DataFrame, id_col: str, data: Column, parse: Callable[[Any], Iterator[tuple]]) -> DataFrame:
     kind = dict(df.dtypes)[id_col]
     own = df.select(F.col(id_col), data.alias("data"))
@@ -76,12 +96,16 @@ def factorize(df: DataFrame, id_col: str, text: str, *, start_pos: int = 0, part
     """The factors of each text from ``start_pos`` on. ``partitions`` deals texts to that many tasks first."""
     if partitions:
         df = df.repartition(partitions)
-    return _factor_rows(df, id_col, as_bytes(df, text), lambda t: kernel.lz_factors(t, start_pos))
+    return _plain_rows(df, id_col, as_bytes(df, text), start_pos)
 
 
 def count_factors(df: DataFrame, text: str, *, out: str = "n_factors", start_pos: int = 0) -> DataFrame:
     """``df`` with the number of factors of each text; no factor is materialised."""
-    return df.withColumn(out, _counter(lambda t: kernel.lz_factors(t, start_pos))(as_bytes(df, text)))
+    @F.pandas_udf("long")
+    def count(data: pd.Series) -> pd.Series:
+        return pd.Series(kernel.lz_counts(data.tolist(), start_pos), dtype="Int64")
+
+    return df.withColumn(out, count(as_bytes(df, text)))
 
 
 def factorize_dna_rc(df: DataFrame, id_col: str, seq: str, *, mode: str = "reference", partitions: int | None = None) -> DataFrame:

@@ -5,17 +5,22 @@ Tables hold no DNA: queries on DNA map the letters of ``benchmark`` to bases by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import sequences as S
 from weft.operators import analytics as A
 from weft.operators import batch, factorize, planning
+from weft.sources import factorfile, fasta
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 GROUPS = 8
 GRID_LENGTH, GRID_BINS = 512, 8
 SEED = 7
+#: Real factors that may be expected beyond the length threshold by chance.
+THRESHOLD = 10.0
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,29 +76,23 @@ def _shuffled(spark, d):
     return factorize.factorize(A.shuffle_texts(_texts(spark, d), "id", "text", SEED), "id", "text")
 
 
-def _half(spark, d):
-    """Factors of even items stand for real ones, those of odd items for controls: both engines can make them."""
-    f = _factors(spark, d)
-    return f.filter("id % 2 = 0"), f.filter("id % 2 = 1")
-
-
 def _controlled(spark, d):
     """Factors of all items, and those of all items shuffled."""
     return _factors(spark, d), _shuffled(spark, d)
 
 
-def _curve(spark, d, pair=_half):
-    real, control = pair(spark, d)
+def _curve(spark, d):
+    real, control = _controlled(spark, d)
     return A.significance_curve(real, control)
 
 
-def _rarity(spark, d, pair=_half):
-    real, control = pair(spark, d)
+def _rarity(spark, d):
+    real, control = _controlled(spark, d)
     return A.rarity_scores(real, A.significance_curve(real, control)).select("id", "start", "length", F.round("rarity", 9).alias("rarity"))
 
 
-def _p_any(spark, d, pair=_half):
-    real, control = pair(spark, d)
+def _p_any(spark, d):
+    real, control = _controlled(spark, d)
     n = real.agg(F.count(F.lit(1)).alias("n_real"))
     return A.significance_curve(real, control).crossJoin(F.broadcast(n)).select("length", F.round(A.p_any_ge(F.col("s0"), F.col("n_real")), 9).alias("p_any_ge"))
 
@@ -154,6 +153,22 @@ def _shuffle_composition(spark, d):
     return S.alphabet_counts(A.shuffle_texts(_texts(spark, d), "id", "text", SEED), "id", "text").select("id", "character", "n")
 
 
+def _round_trip(spark, d):
+    """FASTA files of the groups, factorized as a batch into factor files, and these read back."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{shared.rstrip('/')}/weft-batch-{uuid.uuid4().hex}"
+    records = _grouped_dna(spark, d).selectExpr("grp AS file", "int(id) AS seq_idx", "string(id) AS seq_id", "concat(id, ' of ', grp) AS header", "seq")
+    lines = fasta.format_fasta(records.filter("seq <> ''")).repartition("file").sortWithinPartitions("file", "seq_idx")
+    lines.select("file", "value").write.partitionBy("file").text(f"{root}/in")
+    out = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    out = out.replace("file:/", "file:///") if out.startswith("file:/") and not out.startswith("file://") else out
+    done = batch.run_batch(spark, [f"{root}/in/*/*"], f"{out}/out", modes=batch.WITH_RC)
+    leaf = lambda c: F.regexp_extract(c, r"([^/]+)\.bin$", 1)
+    groups = done.select(leaf("output").alias("leaf"), F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("grp"))
+    back = factorfile.read_factors(spark, f"{root}/out/*/*.bin").withColumn("leaf", leaf("file"))
+    return back.join(groups, "leaf").select("grp", "start", "length", "ref", "is_rc", "is_sentinel")
+
+
 def _invariants(spark, d):
     """Factors of every whole document: gap-free and as long as the text."""
     docs = _read(spark, d, "documents").select("doc_id", "text")
@@ -177,7 +192,7 @@ QUERIES: dict = {
     "lz_document_coverage": _invariants,
     "dna_revcomp": lambda s, d: _dna(s, d).select("id", S.revcomp(F.col("seq")).alias("rc")),
     "dna_sanitize": lambda s, d: _read(s, d, "documents").select("doc_id", S.sanitize_dna(F.col("text")).alias("seq")),
-    "dna_sequence_type": lambda s, d: _read(s, d, "part").select("p_partkey", S.sequence_type(F.regexp_extract("p_name", "^([^ ]*)", 1)).alias("type"), S.is_dna(F.col("p_name")).alias("is_dna"), S.is_protein(F.col("p_name")).alias("is_protein")),
+    "dna_sequence_type": lambda s, d: _read(s, d, "part").select("p_partkey", S.sequence_type(F.replace(F.col("p_name"), F.lit(" "), F.lit(""))).alias("type"), S.is_dna(F.col("p_name")).alias("is_dna"), S.is_protein(F.col("p_name")).alias("is_protein")),
     "dna_prepare_no_rc": _prepare(False),
     "dna_prepare_w_rc": _prepare(True),
     "dna_rc_factors_exact": lambda s, d: _rc(s, d).select("id", "start", "length", "ref", "is_rc"),
@@ -191,6 +206,7 @@ QUERIES: dict = {
     "sequence_boundaries": _boundaries,
     "per_sequence_counts": lambda s, d: A.per_sequence_counts(_multi(s, d), "grp").fillna(-1, ["seq_idx"]),
     "multi_seq_rc_factors": lambda s, d: factorize.factorize_multiple(_grouped_dna(s, d), "grp", "id", "seq").select("grp", "start", "length", "ref", "is_rc", "seq_idx", "is_sentinel"),
+    "fasta_batch_round_trip": _round_trip,
     "alphabet_profile": lambda s, d: S.alphabet_profile(_read(s, d, "documents"), "doc_id", "text").select("doc_id", "size", F.round("entropy", 9).alias("entropy"), "total_length"),
     "alphabet_top10": lambda s, d: S.alphabet_top(_read(s, d, "documents"), "doc_id", "text"),
     "segments_self_plot": lambda s, d: A.segments(_rc(s, d), "id"),
@@ -198,15 +214,9 @@ QUERIES: dict = {
     "space_scale_heatmap": lambda s, d: A.space_scale_heatmap(_rc(s, d)).select("length_bin", "position_bin", "is_rc", "n", F.round("weighted", 6).alias("weighted")),
     "significance_curve": lambda s, d: _curve(s, d).select("length", F.round("s0", 9).alias("s0"), F.round("s0_upper", 9).alias("s0_upper"), F.round("expected_fp", 6).alias("expected_fp")),
     "significance_tail": lambda s, d: _curve(s, d).select("length", F.round("s0", 9).alias("s0")),
-    "length_threshold": lambda s, d: A.length_threshold(_curve(s, d)),
+    "length_threshold": lambda s, d: A.length_threshold(_curve(s, d), THRESHOLD),
     "rarity_scores": _rarity,
     "p_any_ge": _p_any,
-    # No SQL repeats the shuffle: these are held by brute force.
-    "significance_curve_shuffled": lambda s, d: _curve(s, d, _controlled).select("length", F.round("s0", 9).alias("s0"), F.round("s0_upper", 9).alias("s0_upper"), F.round("expected_fp", 6).alias("expected_fp")),
-    "significance_tail_shuffled": lambda s, d: _curve(s, d, _controlled).select("length", F.round("s0", 9).alias("s0")),
-    "length_threshold_shuffled": lambda s, d: A.length_threshold(_curve(s, d, _controlled)),
-    "rarity_scores_shuffled": lambda s, d: _rarity(s, d, _controlled),
-    "p_any_ge_shuffled": lambda s, d: _p_any(s, d, _controlled),
     "shuffle_composition": _shuffle_composition,
     "resource_estimate": _estimate,
     "thread_decision": lambda s, d: _sizes(s, d).select("doc_id", planning.thread_decision(F.col("size") * 100, 16).alias("threads")),
@@ -257,8 +267,7 @@ def _rc_sql(texts: str = f"SELECT item_id AS id, {_DNA} AS s, 0 AS i0 FROM bench
     return _RC.replace("{texts}", texts)
 
 #: The forward rule of mode "reference": the longest match at a length after which the work string w branches, extended.
-_PARITY = f"""WITH RECURSIVE t AS (SELECT item_id AS id, {_DNA} AS s FROM benchmark),
-t2 AS (SELECT id, s, s || '$' || translate(reverse(s), 'ACGT', 'TGCA') || '#' AS w FROM t),
+_PARITY = """WITH RECURSIVE t2 AS ({texts}),
 f AS (
  SELECT id, s, w, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS ref, false AS is_rc FROM t2
  UNION ALL
@@ -277,8 +286,27 @@ f AS (
         lambda k: contains(left(s, start + length), substr(s, start + length + 1, k)))), 0) AS lf,
       coalesce(list_max(list_filter(range(1, least(start + length, length(s) - (start + length)) + 1),
         lambda k: contains(left(s, start + length), translate(reverse(substr(s, start + length + 1, k)), 'ACGT', 'TGCA')))), 0) AS lr
-      FROM f WHERE start + length < length(s))))))
-SELECT id, start, length, ref, is_rc FROM f WHERE length > 0"""
+      FROM f WHERE start + length < length(s)))))),
+factors AS (SELECT id, start, length, ref, is_rc FROM f WHERE length > 0)"""
+_WORK = "SELECT id, s, s || '$' || translate(reverse(s), 'ACGT', 'TGCA') || '#' AS w FROM ({dna})"
+
+
+def _parity(texts: str = _WORK.format(dna=f"SELECT item_id AS id, {_DNA} AS s FROM benchmark")) -> str:
+    return _PARITY.replace("{texts}", texts)
+
+
+def _shuffled_sql(text: str) -> str:
+    """(id, text): the items' texts with their characters in the order of the registered shuffle."""
+    return f"""SELECT item_id AS id, string_agg(c, '' ORDER BY md5(concat('{SEED}:', item_id, ':', i)), i) AS text
+      FROM (SELECT item_id, unnest(string_split(x, '')) AS c, unnest(range(0, length(x))) AS i FROM (SELECT item_id, {text} AS x FROM benchmark) WHERE length(x) > 0) GROUP BY item_id"""
+
+
+#: Sequences of a group and, in reverse order, their reverse complements, each closed by a code point of its own.
+_MULTI_WORK = f"""SELECT grp AS id, left(fw, length(fw) - 1) AS s, fw || rv AS w FROM (
+  SELECT grp, string_agg(seq || chr(CAST(1000 + k AS INT)), '' ORDER BY k) AS fw, string_agg(translate(reverse(seq), 'ACGT', 'TGCA') || chr(CAST(2000 + k AS INT)), '' ORDER BY k DESC) AS rv
+  FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY item_id) AS k FROM (
+    SELECT item_id, item_id % {GROUPS} AS grp, {_DNA} AS seq FROM benchmark) WHERE length(seq) > 0) GROUP BY grp)"""
+_MULTI_RC = f"{_parity(_MULTI_WORK)} SELECT id AS grp, start, length, ref, is_rc, CAST(len(regexp_extract_all(left(s, start), '[^ACGT]')) AS INT) AS seq_idx, NOT regexp_matches(substr(s, start + 1, 1), '[ACGT]') AS is_sentinel FROM factors JOIN t2 USING (id)"
 
 # Sentinels are unlike everything else: code points from 1000 up, one for each boundary.
 _MULTI = _base(
@@ -288,9 +316,18 @@ _MULTI = _base(
 ) + """,
 multi AS (SELECT id AS grp, start, length, ref, CAST(len(regexp_extract_all(left(s, start), '[^ACGT]')) AS INT) AS seq_idx,
   NOT regexp_matches(substr(s, start + 1, 1), '[ACGT]') AS is_sentinel FROM factors JOIN t USING (id))"""
-_HALF = """, real AS (SELECT * FROM factors WHERE id % 2 = 0), ctl AS (SELECT * FROM factors WHERE id % 2 = 1),
+#: Factors of all items (real) and of all items shuffled (ctl), and the tail of the latter.
+_CURVE = f""", real AS (SELECT * FROM factors), ctl AS ({_base(f"SELECT id, {_BYTES.format(t='text')} AS s, 0 AS i0 FROM ({_shuffled_sql('text')})")} SELECT * FROM factors),
 cnt AS (SELECT length, count(*) AS c FROM ctl GROUP BY length),
-curve AS (SELECT length, sum(c) OVER (ORDER BY length DESC) / (SELECT count(*) FROM ctl) AS s0 FROM cnt)"""
+curve AS (SELECT length, CAST(sum(c) OVER (ORDER BY length DESC) AS BIGINT) AS k, (SELECT count(*) FROM ctl) AS n, sum(c) OVER (ORDER BY length DESC) / (SELECT count(*) FROM ctl) AS s0 FROM cnt)"""
+#: The bound p of k of n solves P(X <= k) = 0.05, found by halving.
+_BOUND = """, halved AS (
+ SELECT length, k, n, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS turn FROM curve WHERE k < n
+ UNION ALL
+ SELECT length, k, n, CASE WHEN cdf > 0.05 THEN mid ELSE lo END, CASE WHEN cdf > 0.05 THEN hi ELSE mid END, turn + 1
+ FROM (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid) + (n - i) * ln(1 - mid)))) AS cdf
+  FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved WHERE turn < 50))),
+bound AS (SELECT length, s0, coalesce((h.lo + h.hi) / 2, 1.0) AS s0_upper, (SELECT count(*) FROM real) AS n_real FROM curve LEFT JOIN (SELECT length, lo, hi FROM halved WHERE turn = 50) h USING (length))"""
 _GROUPED = f"SELECT item_id % {GROUPS} AS grp, item_id, length({_DNA}) AS n FROM benchmark"
 
 
@@ -347,11 +384,15 @@ ORACLES: dict[str, str] = {
     "dna_revcomp": f"SELECT item_id AS id, translate(reverse({_DNA}), 'ACGT', 'TGCA') AS rc FROM benchmark",
     "dna_sanitize": "SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
     "dna_sequence_type": f"""SELECT p_partkey, CASE WHEN regexp_matches(w, '^[ATGC]+$', 'i') THEN 'dna' WHEN regexp_matches(w, '^[{S.AMINO_ACIDS}]+$', 'i') THEN 'protein' ELSE 'text' END AS type,
-        regexp_matches(p_name, '^[ATGC]+$', 'i') AS is_dna, regexp_matches(p_name, '^[A-Z]+$', 'i') AS is_protein FROM (SELECT *, regexp_extract(p_name, '^([^ ]*)', 1) AS w FROM part)""",
+        regexp_matches(p_name, '^[ATGC]+$', 'i') AS is_dna, regexp_matches(p_name, '^[A-Z]+$', 'i') AS is_protein FROM (SELECT *, replace(p_name, ' ', '') AS w FROM part)""",
     "dna_prepare_no_rc": _prepare_sql(False),
     "dna_prepare_w_rc": _prepare_sql(True),
     "dna_rc_factors_exact": f"{_rc_sql()} SELECT * FROM factors",
-    "dna_rc_factors_parity": _PARITY,
+    "dna_rc_factors_parity": f"{_parity()} SELECT * FROM factors",
+    "multi_seq_rc_factors": _MULTI_RC,
+    "fasta_batch_round_trip": f"SELECT grp, start, length, ref, is_rc, is_sentinel FROM ({_MULTI_RC})",
+    "dna_shuffle_analysis": f"""WITH a AS ({_parity()} SELECT id, count(*) AS c FROM factors GROUP BY id), b AS ({_parity(_WORK.format(dna=f'SELECT id, text AS s FROM ({_shuffled_sql(_DNA)})'))} SELECT id, count(*) AS c FROM factors GROUP BY id)
+        SELECT 'benchmark' AS file, CAST(id AS VARCHAR) AS seq_id, a.c AS original, b.c AS shuffled, a.c / b.c AS ratio FROM a JOIN b USING (id)""",
     "dna_rc_count": f"{_rc_sql()} SELECT id, count(*) AS n_factors FROM factors GROUP BY id",
     "dna_rc_factors_reference": _rc_sql(f"SELECT b.item_id AS id, r.s || '$' || b.s AS s, length(r.s) + 1 AS i0 FROM (SELECT item_id, {_DNA} AS s FROM benchmark WHERE item_id <> 0) b, (SELECT {_DNA} AS s FROM benchmark WHERE item_id = 0) r")
     + " SELECT * FROM factors",
@@ -366,12 +407,14 @@ ORACLES: dict[str, str] = {
     "alphabet_top10": f"SELECT id AS doc_id, CAST(row_number() OVER w AS INT) AS rank, character, n FROM ({_CHARS.format(id='doc_id', table='documents')}) WINDOW w AS (PARTITION BY id ORDER BY n DESC, first_at) QUALIFY row_number() OVER w <= 10",
     "segments_self_plot": f"{_rc_sql()} SELECT id, start AS x0, start + length AS x1, CASE WHEN is_rc THEN ref + length ELSE ref END AS y0, CASE WHEN is_rc THEN ref ELSE ref + length END AS y1, is_rc FROM factors",
     "strand_bias_grid": _GRID_SQL,
-    "significance_tail": f"{_base()}{_HALF} SELECT length, round(s0, 9) AS s0 FROM curve",
-    "rarity_scores": f"""{_base()}{_HALF}, b AS (SELECT length AS lo, s0 AS s_lo, lead(length) OVER (ORDER BY length) AS hi, lead(s0) OVER (ORDER BY length) AS s_hi FROM curve)
+    "significance_curve": f"{_base()}{_CURVE}{_BOUND} SELECT length, round(s0, 9) AS s0, round(s0_upper, 9) AS s0_upper, round(n_real * s0_upper, 6) AS expected_fp FROM bound",
+    "length_threshold": f"{_base()}{_CURVE}{_BOUND} SELECT min(length) AS l_star FROM bound WHERE n_real * s0_upper <= {THRESHOLD}",
+    "significance_tail": f"{_base()}{_CURVE} SELECT length, round(s0, 9) AS s0 FROM curve",
+    "rarity_scores": f"""{_base()}{_CURVE}, b AS (SELECT length AS lo, s0 AS s_lo, lead(length) OVER (ORDER BY length) AS hi, lead(s0) OVER (ORDER BY length) AS s_hi FROM curve)
         SELECT id, start, r.length, round(CASE WHEN r.length < (SELECT min(length) FROM curve) THEN 1.0 WHEN r.length > (SELECT max(length) FROM curve) THEN 0.0
           WHEN r.length = lo THEN s_lo ELSE s_lo + (s_hi - s_lo) * (r.length - lo) / (hi - lo) END, 9) AS rarity
         FROM real r LEFT JOIN b ON r.length >= lo AND (r.length < hi OR hi IS NULL)""",
-    "p_any_ge": f"{_base()}{_HALF} SELECT length, round(1 - exp(-(SELECT count(*) FROM real) * s0), 9) AS p_any_ge FROM curve",
+    "p_any_ge": f"{_base()}{_CURVE} SELECT length, round(1 - exp(-(SELECT count(*) FROM real) * s0), 9) AS p_any_ge FROM curve",
     "shuffle_composition": f"SELECT id, character, n FROM ({_CHARS.format(id='item_id', table='benchmark')})",
     "resource_estimate": """SELECT doc_id, CAST(n AS BIGINT) AS n_symbols, round(n / 1000 * 0.0005 / 2.8, 9) AS seconds, round(n * 30 / 1048576 * 1.9, 6) AS memory_mb, round(size * 0.2 / 1048576, 6) AS disk_mb,
         CAST(CASE WHEN n * 30 / 1048576 * 1.9 / 1024 * 1.5 <= 2 THEN 2 ELSE 4 END AS INT) AS cluster_memory_gb

@@ -108,35 +108,70 @@ def read_factors(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _files(spark, path).mapInArrow(run, _FACTORS)
 
 
-def write_factors(factors: DataFrame, id_col: str, path: str, *, names: bool = False) -> DataFrame:
+def _write_sorted(batches: Iterator[pa.RecordBatch], id_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    """Rows in order of file, each file's header first, to files; a row for each that is done."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    state: dict = {}
+
+    def close():
+        marks, tail = np.asarray(state["marks"], "<u8"), b"".join(n.encode() + b"\0" for n in state["names"])
+        tail += marks.tobytes()
+        state["out"].write(tail + FOOTER.pack(MAGIC, state["n"], state["n_sequences"], len(marks), len(tail) + FOOTER.size, state["total"]))
+        state["out"].close()
+        store.move(state["part"], state["to"])
+        return pa.record_batch({id_col: state["id"], "file": pa.array([state["to"]], pa.string()), "n_factors": pa.array([state["n"]], pa.int64())})
+
+    for b in batches:
+        begins = np.flatnonzero(b.column("start").is_null().to_numpy(zero_copy_only=False)).tolist()
+        heads = set(begins)
+        for at, end in zip([0, *begins], [*begins, b.num_rows]):
+            if at < end and at in heads:
+                if state:
+                    yield close()
+                to = f"{root}/{b.column('safe')[at].as_py()}.bin"
+                part = f"{to}.{uuid.uuid4().hex}"
+                state = {"to": to, "part": part, "out": store.open_output_stream(part), "n": 0, "total": 0, "marks": [], "id": b.column(id_col).slice(at, 1), "names": b.column("names")[at].as_py(), "n_sequences": b.column("n_sequences")[at].as_py()}
+                at += 1
+            if at < end:
+                cut = b.slice(at, end - at)
+                start, length, ref = (cut.column(c).to_numpy(zero_copy_only=False).astype("<u8") for c in ("start", "length", "ref"))
+                ref = ref | np.where(cut.column("is_rc").to_numpy(zero_copy_only=False), np.uint64(RC_BIT), np.uint64(0))
+                state["out"].write(np.column_stack([start, length, ref]).astype("<u8").tobytes())
+                state["marks"] += (np.flatnonzero(cut.column("mark").to_numpy(zero_copy_only=False)) + state["n"]).tolist()
+                state["n"] += len(start)
+                state["total"] += int(length.sum())
+    if state:
+        yield close()
+
+
+def write_factors(factors: DataFrame, id_col: str, path: str, *, names: bool = False, headers: DataFrame | None = None) -> DataFrame:
     """Write one file ``<id>.bin`` per id into the folder ``path``, and return (id, file, n_factors).
 
-    The folder is a URI that every executor reaches. Each file is written under another name and moved into place,
-    so a task that is run again leaves no half file. Runs at once.
+    ``headers`` (id, names array<string>, n_sequences long) gives each file's sequence names and the number of
+    sequences its footer tells; its ids without a factor get an empty file. Without it the footer tells no sequence, or
+    with ``names`` one, named by the id.
+
+    The folder is a URI that every executor reaches. A file's factors pass through one task in order, a batch at a
+    time. Each file is written under another name and moved into place, so a task that is run again leaves no half
+    file. Ids that make the same file name raise. Runs at once.
     """
     kind = dict(factors.dtypes)[id_col]
     sentinel = F.col("is_sentinel") if "is_sentinel" in factors.columns else F.lit(False)
-    rows = factors.select(F.col(id_col), "start", "length", "ref", "is_rc", sentinel.alias("mark"))
-    x = F.sort_array(F.collect_list(F.struct("start", "length", "ref", "is_rc", "mark")))
-
-    def run(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        for b in batches:
-            ids, files, counts = b.column(id_col).to_pylist(), [], []
-            for i, fx, safe in zip(ids, b.column("x").to_pylist(), b.column("safe").to_pylist()):
-                data = encode([(f["start"], f["length"], f["ref"], f["is_rc"]) for f in fx], [str(i)] if names else [], [k for k, f in enumerate(fx) if f["mark"]])
-                to = f"{root}/{safe}.bin"
-                part = f"{to}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, to)
-                files.append(to)
-                counts.append(len(fx))
-            yield pa.record_batch({id_col: b.column(id_col), "file": pa.array(files, pa.string()), "n_factors": pa.array(counts, pa.int64())})
-
+    rows = factors.select(F.col(id_col), "start", "length", "ref", "is_rc", sentinel.alias("mark"), F.lit(None).cast("array<string>").alias("names"), F.lit(None).cast("long").alias("n_sequences"))
+    if headers is None:
+        own = F.array(F.col(id_col).cast("string")) if names else F.array().cast("array<string>")
+        headers = factors.select(id_col).distinct().select(id_col, own.alias("names"), F.lit(int(names)).cast("long").alias("n_sequences"))
+    none = {c: F.lit(None).cast(t) for c, t in (("start", "long"), ("length", "long"), ("ref", "long"), ("is_rc", "boolean"), ("mark", "boolean"))}
+    rows = rows.unionByName(headers.select(id_col, "names", F.col("n_sequences").cast("long").alias("n_sequences")).withColumns(none))
     safe = F.regexp_replace(F.col(id_col).cast("string"), r'[/\\:*?"<>| ]', "_")
-    done = rows.groupBy(id_col).agg(x.alias("x")).withColumn("safe", safe).mapInArrow(run, f"`{id_col}` {kind}, file string, n_factors long")
+    clash = headers.select(safe.alias("safe")).groupBy("safe").count().filter("count > 1").first()
+    if clash:
+        raise InvalidInputError(f"several ids make the file name {clash['safe']}.bin")
+    # A file's header row comes first: its start is null.
+    rows = rows.withColumn("safe", safe).repartition("safe").sortWithinPartitions("safe", F.col("start").asc_nulls_first())
+
+    done = rows.mapInArrow(lambda batches: _write_sorted(batches, id_col, path), f"`{id_col}` {kind}, file string, n_factors long")
     return factors.sparkSession.createDataFrame(done.collect(), done.schema)  # a row per file

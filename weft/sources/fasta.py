@@ -22,9 +22,30 @@ def read_fasta(spark: SparkSession, path: str | list[str], *, ambiguous: str = "
     ``skip`` or ``keep`` records without letters. Text before the first header, a header without an id and a file
     without a record raise.
     """
+    return parse_fasta(read_whole(spark, path), "file", "text", ambiguous=ambiguous, duplicates=duplicates, empty=empty)
+
+
+def read_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, text): whole files, with line feeds alone at the ends of lines."""
     paths = [path] if isinstance(path, str) else list(path)
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    return parse_fasta(files, "file", "text", ambiguous=ambiguous, duplicates=duplicates, empty=empty)
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+
+
+def read_fasta_auto(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, type, seq_idx, seq_id, header, seq, factors) by the type of each file's first record: the records of a DNA
+    file are checked as nucleotides and factorized, those of a protein file are checked as proteins and have no
+    factors; any other file raises."""
+    from weft.operators import factorize
+
+    records = read_fasta(spark, path, ambiguous="keep", duplicates="last")
+    records = records.join(file_types(records), "file")
+    good = F.when(F.col("type") == "dna", F.col("seq").rlike("^[ACGT]+$")).when(F.col("type") == "protein", F.col("seq").rlike(f"^[{AMINO_ACIDS}]+$"))
+    error = F.when(good.isNull(), F.concat(F.lit("cannot tell the sequence type of "), F.col("file"))).when(~good, F.concat(F.lit("not a "), F.col("type"), F.lit(" sequence: "), F.col("seq_id")))
+    records = records.withColumn("seq", F.when(error.isNull(), F.col("seq")).otherwise(F.raise_error(error)))
+    key = F.struct("file", "seq_idx").alias("key")
+    factors = factorize.nest(factorize.factorize(records.filter("type = 'dna'").select(key, "seq"), "key", "seq"), "key")
+    own = records.select(key, "file", "type", "seq_idx", "seq_id", "header", "seq")
+    return own.join(factors, "key", "left").select("file", "type", "seq_idx", "seq_id", "header", "seq", "factors")
 
 
 def parse_fasta(df: DataFrame, file: str, text: str, *, ambiguous: str = "remove", duplicates: str = "keep", empty: str = "skip") -> DataFrame:
@@ -88,4 +109,4 @@ def write_fasta(records: DataFrame, path: str, *, width: int = LINE_WIDTH) -> No
     format_fasta(records, width=width).repartitionByRange("file", "seq_idx").sortWithinPartitions("file", "seq_idx").select("value").write.mode("overwrite").text(path)
 
 
-__all__ = ["file_types", "format_fasta", "is_dna", "nucleotides", "parse_fasta", "proteins", "read_fasta", "write_fasta"]
+__all__ = ["file_types", "format_fasta", "is_dna", "nucleotides", "parse_fasta", "proteins", "read_fasta", "read_fasta_auto", "read_whole", "write_fasta"]
