@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -198,15 +199,73 @@ def test_codes_tell_languages_apart(n):
     assert code.shape[0] == n and len({tuple(r) for r in code}) == n
 
 
-def test_templates_and_slots():
+def main_texts(spark, rows):
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in html.extract_main_text(pages).orderBy("page_id").collect()]
+
+
+def test_templates_and_slots(spark):
     page = lambda k: f"<html><body><header>Site</header><div id='menu'><a>Home</a></div><div class=post><h2>T{k}</h2><p>Body {k}<span>!</span><p>Share this</div><aside>more</aside><div class='comment-list'>c</div><form>f</form></body></html>"
-    assert html.Page(page(1)).main_text(frozenset()) == "T1 Body 1! Share this"
+    long = " ".join(["word"] * 30)
     cases = {
+        page(1): "T1 Body 1! Share this",
         "<div style=\"overflow: hidden\">a</div>b": "a b",
         "<article><header class=\"entry-header\"><h1>T</h1></header><p>x</p><footer>f</footer></article><div class=site-header>n</div>": "T x",
         "<p>1<p>2<ul><li>3<li>4</ul><div id=comments>c<div>d</div></div>e": "1 2 3 4 e",
+        # Names that tell of a state, and wrappers, do not hide the article.
+        f"<div class='content has-sidebar'><article>{long}</article></div>": long,
+        f"<article class='post comments-open'><p>{long}</p></article>": long,
+        f"<div class='site no-sidebar'><nav>m</nav><article>{long}</article></div>": long,
+        f"<form><nav>m</nav><div><p>{long}</p></div><footer>f</footer></form>": long,
+        f"<article>teaser</article><main><p>{long}</p></main>": long,
+        "<article>one</article><div>two</div>": "one two",
+        "<nav>only a menu</nav>": "",
     }
-    assert {k: html.Page(k).main_text(frozenset()) for k in cases} == cases
+    assert main_texts(spark, [(f"h{k}.org", x) for k, x in enumerate(cases)]) == list(cases.values())
+
+
+def brute_template(pages):
+    """(slots, texts) of a host from the whole occurrence vectors of its distinct pages."""
+    tokens = [html.Page(x).tokens() for x in dict.fromkeys(pages)]
+    every = {t: x[:2] for found in tokens for t, x in found.items()}
+    vector = {t: tuple(found.get(t, (0, 0, 0))[2] for found in tokens) for t in every}
+    on = {t: sum(map(bool, v)) for t, v in vector.items()}
+    often = {t for t in every if on[t] >= min(html.MIN_PAGES, len(tokens))}
+    around = lambda t: vector[every[t][1]] if every[t][1] in often and every[every[t][1]][0] != html.TEXT else None
+    slots, texts = set(), set()
+    for v in {vector[t] for t in often}:
+        own = [t for t in often if vector[t] == v]
+        wide = [t for t in own if every[t][0] == html.SLOT]
+        if len(own) < html.MIN_TOKENS or all(every[t][0] == html.TEXT for t in own) or len({every[t][1] for t in wide if around(t) != v}) > 1:
+            continue
+        slots |= {t for t in wide if max(v) == 1}
+        texts |= {t for t in own if every[t][0] == html.TEXT and on[t] >= html.MIN_TEXT_PAGES and (wide or around(t) == v)}
+    return slots, texts
+
+
+def site(rng, k):
+    """A page of one of two types; the notice stands on most pages of the first."""
+    body = "".join(f"<p>{' '.join(str(rng.random()) for _ in range(rng.randint(5, 30)))}</p>" for _ in range(rng.randint(1, 4)))
+    links = "".join(f"<li><a>{rng.random()}</a></li>" for _ in range(rng.randint(2, 6)))
+    if k % 2:
+        return f"<body><ul class=top>{links}</ul><div class=entry id=e{k}>{body}<div class=box>Follow us</div></div><div class=side>{rng.random()}</div>{'<div class=bar>We moved</div>' if k % 5 else ''}</body>"
+    return f"<body><ul class=top>{links}</ul><section><div class=item>{body}</div><div class=price>{k} coins</div></section></body>"
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(16)
+    hosts = {"a.org": [site(rng, k) for k in range(40)], "b.org": [site(rng, 1)], "c.org": [site(rng, k) for k in (1, 2)]}
+    hosts["a.org"] += hosts["a.org"][:9]
+    rows = [(f"http://{h}/", x) for h, pages in hosts.items() for x in pages]
+    got = html.deduce_templates(spark.createDataFrame(rows, "url string, html string").repartition(5)).collect()
+    assert {r["host"]: (set(r["slots"]), set(r["texts"])) for r in got} == {h: brute_template(x) for h, x in hosts.items()}
+
+
+def test_the_template_finds_unnamed_parts(spark):
+    rng = random.Random(17)
+    rows = [("a.org", site(rng, k)) for k in range(40)]
+    for (_, x), got in zip(rows, main_texts(spark, rows)):
+        assert got == " ".join(re.findall("<p>(.*?)</p>", x))
 
 
 def test_templates_of_a_host(spark):
