@@ -1,10 +1,13 @@
 """URL filter: allow and block rules, and a character language-model ratio for all other URLs.
 
 Two variable-order Markov models, of accepted and of rejected URLs, are counted from the URLs that a rule decides.
-Each order is smoothed towards the next lower one. A context is kept only if the corpus has it often enough: at
-least one in MODEL_SIZE of all places, so each order has MODEL_SIZE entries at most however large the corpus is.
-A URL's score is the mean log ratio of its characters under both models, each by the longest kept context; the
-threshold is the one that parts the rules' own URLs best. All of it is DataFrame expressions.
+Each order is smoothed towards the next lower one. Every string of a character and its context that stands MIN_COUNT
+times or more is kept, so the models grow with the corpus. A URL's score is the mean log ratio of its characters under
+both models, each by the longest kept context; the threshold is the one that parts the rules' own URLs best.
+
+Scores are worked out once for each distinct context and joined to the places: those of the few contexts that stand at
+more than one in HEAVY of all places (HEAVY at most, so they are broadcast), and by a shuffle those of all others.
+All of it is DataFrame expressions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is blocked; with no
 accepted or no rejected URLs to learn from, others are allowed; ties between thresholds go to the one nearest 0;
@@ -18,12 +21,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import durable, table
+from weft.llm.common import durable, shuffle_partitions, table
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDERS = 5
-MODEL_SIZE = 1 << 14
+HEAVY = 1 << 13
 MIN_COUNT = 2
 #: Weight of the lower order, in characters seen.
 SMOOTHING = 4.0
@@ -50,25 +53,18 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def _grams(places: DataFrame) -> DataFrame:
-    """(s, p, ...) with g0 to g4: the character at p after 0 to 4 characters of context; null where s has fewer before."""
-    return places.withColumns({f"g{k}": F.when(F.col("p") > k, F.expr(f"substring(s, p - {k}, {k + 1})")) for k in range(ORDERS)})
-
-
 def _places(df: DataFrame) -> DataFrame:
-    return df.filter(F.length("s") > 2).select("*", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("p"))
+    """(s, ...) with ``gram`` for every character but the start mark: it and up to ORDERS - 1 characters before it."""
+    places = df.filter(F.length("s") > 2).select("*", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("p"))
+    return places.withColumn("gram", F.expr(f"substring(s, greatest(1, p - {ORDERS - 1}), least(p, {ORDERS}))")).drop("p")
 
 
 def model(labelled: DataFrame) -> DataFrame:
     """(s, n, accepted) to (gram, ratio): the log ratio of the last character's probabilities after the others."""
-    grams = _grams(_places(labelled)).select(
-        F.explode(F.array(*(F.col(f"g{k}") for k in range(ORDERS)))).alias("gram"), "n", "accepted"
-    ).filter("gram IS NOT NULL")
+    whole = _places(labelled).groupBy("gram", "accepted").agg(F.sum("n").alias("n"))
+    grams = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.right("gram", k))).alias("gram"), "n", "accepted")
     counts = grams.groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("no"))
-    total = F.sum(F.when(F.length("gram") == 1, F.col("yes") + F.col("no")))
-    counts = durable(counts)
-    least = counts.agg(total.alias("t")).first()["t"] or 0
-    counts = durable(counts.filter(F.col("yes") + F.col("no") >= max(MIN_COUNT, least / MODEL_SIZE)))
+    counts = durable(counts.filter(F.col("yes") + F.col("no") >= MIN_COUNT))
     sums = counts.filter(F.length("gram") == 1).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
     levels = []
     for k in range(ORDERS):
@@ -88,13 +84,23 @@ def model(labelled: DataFrame) -> DataFrame:
     return durable(every.select("gram", F.log(F.col("py") / F.col("pn")).alias("ratio")))
 
 
-def score_urls(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+def score_urls(urls: DataFrame, ratios: DataFrame, *, heavy: int = HEAVY) -> DataFrame:
     """(s) to (s, score): the mean over all characters of the ratio after the longest context the model has."""
-    df = _grams(_places(urls.select("s").distinct()))
-    for k in range(ORDERS):
-        # ORDERS x MODEL_SIZE rows at most.
-        df = df.join(F.broadcast(ratios.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
-    return df.groupBy("s").agg(F.avg(F.coalesce(*(F.col(f"r{k}") for k in reversed(range(ORDERS))), F.lit(0.0))).alias("score"))
+    # Dealt out by number, so that the places, many for each URL, are not made in one task.
+    own = urls.select("s").repartition(shuffle_partitions(urls.sparkSession), "s").distinct()
+    places = _places(own)
+    grams = durable(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    # The ratio of the longest end of each distinct context that the model has.
+    ends = grams.select("gram", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.right("gram", k))).alias("k", "end"))
+    known = ends.join(ratios.withColumnRenamed("gram", "end"), "end").groupBy("gram").agg(F.max_by("ratio", "k").alias("ratio"))
+    known = durable(grams.join(known, "gram", "left").select("gram", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))
+    often = F.col("n") > total / heavy
+    # HEAVY rows at most: each stands at more than one in HEAVY of all places.
+    near = F.broadcast(known.filter(often).select("gram", "ratio"))
+    by_often = places.join(near, "gram").select("s", "ratio")
+    by_rare = places.join(near, "gram", "left_anti").join(known.filter(~often).select("gram", "ratio"), "gram").select("s", "ratio")
+    return by_often.unionByName(by_rare).groupBy("s").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scores: DataFrame) -> float:
@@ -113,7 +119,7 @@ def threshold(scores: DataFrame) -> float:
     return best[2] / STEPS
 
 
-def judge_urls(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, *, rules=RULES, heavy: int = HEAVY, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, score."""
     own = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"))
     host, path = host_and_path(F.col("url"))
@@ -123,7 +129,7 @@ def judge_urls(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url: s
     own = own.withColumn("s", F.when((F.col("host") != "") | (F.col("path") != ""), F.col("s")))
     labelled = own.filter("rule IS NOT NULL").groupBy("s", (F.col("ruled") == "allow").alias("accepted")).agg(F.count(F.lit(1)).alias("n"))
     ratios = model(labelled)
-    scores = durable(score_urls(own.filter("s IS NOT NULL"), ratios))
+    scores = durable(score_urls(own.filter("s IS NOT NULL"), ratios, heavy=heavy))
     least = threshold(labelled.join(scores, "s"))
     passed = F.coalesce(F.col("score") >= least, F.lit(False))
     return own.join(scores, "s", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(passed, "allow").otherwise("block")).alias("verdict"), F.round("score", 6).alias("score"))
@@ -157,7 +163,7 @@ lab AS (SELECT s, ruled = 'allow' AS acc, count(*) AS n FROM r WHERE rule IS NOT
 pl AS (SELECT s, n, acc, unnest(range(2, length(s) + 1)) AS p FROM lab WHERE length(s) > 2),
 g AS (SELECT substr(s, p - k, k + 1) AS gram, n, acc FROM pl, unnest(range(0, {ORDERS})) AS t(k) WHERE p > k),
 c0 AS (SELECT gram, CAST(sum(CASE WHEN acc THEN n ELSE 0 END) AS DOUBLE) AS yes, CAST(sum(CASE WHEN acc THEN 0 ELSE n END) AS DOUBLE) AS no FROM g GROUP BY gram),
-c AS (SELECT * FROM c0 WHERE yes + no >= greatest({MIN_COUNT}, (SELECT coalesce(sum(yes + no), 0) FROM c0 WHERE length(gram) = 1) / {MODEL_SIZE})),
+c AS (SELECT * FROM c0 WHERE yes + no >= {MIN_COUNT}),
 z AS (SELECT sum(yes) AS y, sum(no) AS n FROM c WHERE length(gram) = 1),
 m0 AS (SELECT gram, (yes + {SMOOTHING / CHARACTERS}) / (y + {SMOOTHING}) AS py, (no + {SMOOTHING / CHARACTERS}) / (n + {SMOOTHING}) AS pn FROM c, z WHERE length(gram) = 1),
 {", ".join(_level_sql(k) for k in range(1, ORDERS))},
