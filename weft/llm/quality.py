@@ -23,16 +23,16 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line is frequent on a host if more than this many documents hold it ...
 MIN_LINE_DOCS = 10
-#: ... and more than this percentage of the host's documents.
-LINE_DOCS_PERCENT = 5
+#: ... and more than this percentage of the host's documents, or more than this many whatever their percentage.
+LINE_DOCS_PERCENT, MAX_LINE_DOCS = 5, 1_000
 #: A document is depleted if under this percentage of the words of its distinct lines is left.
 MIN_LEFT_PERCENT = 30
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-ASCII_SPACE = " \t\n\x0b\f\r"
+NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def _lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, ASCII_SPACE, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(NO_SPACE))
 
 
 def _normal(line: Column) -> Column:
@@ -48,14 +48,11 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_w", words(F.col(text)))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
+    df = df.withColumn("_w", F.transform("_w", lambda x: F.xxhash64(x)))
     w = F.col("_w")
-    windows = F.when(
-        F.col("n_words") >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size("_w") - 3),
-            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # Each word is hashed once; a window is the hash of three numbers.
+    windows = F.when(F.col("n_words") >= 3, F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_h", windows).drop("_w")
     # Most documents repeat no window: only the others sort their windows.
     df = df.withColumn("_h", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.col("_h")))
@@ -69,8 +66,7 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_l", _lines_with_words(t))
     df = (
         df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .withColumn("word_chars", F.length(F.translate(t, ASCII_SPACE, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
+        .withColumn("n_symbols", (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long"))
         .drop("_l")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -85,6 +81,7 @@ def line_losses(
     *,
     min_docs: int = MIN_LINE_DOCS,
     percent: int = LINE_DOCS_PERCENT,
+    max_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
     """For each distinct (host, text): the words of its distinct lines, those of its frequent lines, and the
     hashes of the frequent lines: (_host, _text, line_words, lost_words, lost_lines)."""
@@ -97,7 +94,7 @@ def line_losses(
     lines = durable(lines.groupBy("_host", "_text", "h").agg(F.max("w").alias("w")))  # read twice
     per_host = keyed.groupBy("_host").agg(F.countDistinct("_text").alias("n_docs"))
     counts = lines.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.filter(F.col("n") > min_docs).join(per_host, "_host").filter(100 * F.col("n") > percent * F.col("n_docs")).select("_host", "h", F.lit(True).alias("lost"))
+    frequent = counts.filter(F.col("n") > min_docs).join(per_host, "_host").filter((100 * F.col("n") > percent * F.col("n_docs")) | (F.col("n") > max_docs)).select("_host", "h", F.lit(True).alias("lost"))
     return (
         lines.join(frequent, ["_host", "h"], "left")
         .groupBy("_host", "_text")
@@ -163,7 +160,7 @@ ln AS (SELECT DISTINCT host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+'
 lw AS (SELECT *, len(list_filter(string_split(h, ' '), lambda w: w <> '')) AS w FROM ln),
 n AS (SELECT host, count(DISTINCT t) AS n_docs FROM d GROUP BY host),
 c AS (SELECT host, h FROM lw JOIN n USING (host) GROUP BY host, h, n_docs
-      HAVING count(*) > {MIN_LINE_DOCS} AND 100 * count(*) > {LINE_DOCS_PERCENT} * n_docs),
+      HAVING count(*) > {MIN_LINE_DOCS} AND (100 * count(*) > {LINE_DOCS_PERCENT} * n_docs OR count(*) > {MAX_LINE_DOCS})),
 loss AS (SELECT lw.host, lw.t, sum(w) AS line_words, sum(CASE WHEN c.h IS NOT NULL THEN w ELSE 0 END) AS lost_words
          FROM lw LEFT JOIN c ON lw.host = c.host AND lw.h = c.h GROUP BY lw.host, lw.t),
 j AS (SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
