@@ -1,11 +1,12 @@
 """Document fingerprints by a threshold-scaled sketch.
 
-The sketch of a text keeps every hash of its word shingles below a fixed fraction of the hash range; a text
-none of whose shingles qualifies keeps its least hash. Sketches of parts merge by union, and containment and
-likeness of texts of very unequal length can be estimated from them alone. All of it is DataFrame expressions.
+The sketch of a text keeps every hash of its word shingles below a fixed fraction of the hash range, and no other.
+Sketches of parts merge by union, a part's sketch is contained in the whole's, and likeness of texts of very unequal
+length can be estimated from sketches alone. All of it is DataFrame expressions.
 
 Defined results: a null text is an empty text with an empty sketch; texts with fewer words than a shingle have
-one shingle; two empty sketches are alike by 1, an empty and another by 0; rows with equal ids go in order of
+one shingle; a short text's sketch may be empty: it is contained in every other (by 1) and, as nothing is known of it,
+like none (by 0), but equal texts are alike by 1; rows with equal ids go in order of
 their texts' hashes, null ids come first; the only row of a table is its own next; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -21,7 +22,8 @@ from weft.llm.common import shuffle_partitions, table, words
 SHINGLE_WORDS = 5
 #: Hashes whose first KEEP_BITS bits are all 0 are kept: one in 2 ** KEEP_BITS.
 KEEP_BITS = 2
-MIN_RANGES = 256
+#: Text of one range of ids, in bytes.
+RANGE_BYTES = 8_000_000
 RANGE_ERROR = 0.0005
 
 
@@ -31,11 +33,8 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     w, n = F.col("_w"), SHINGLE_WORDS
     hashes = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_h", hashes).drop("_w")
-    df = df.withColumn("_k", F.filter("_h", lambda x: F.shiftrightunsigned(x, 64 - KEEP_BITS) == 0))
-    # As unsigned numbers: those with the sign bit come after the others.
-    least = F.coalesce(F.array_min(F.filter("_h", lambda x: x >= 0)), F.array_min("_h"))
-    kept = F.when(F.size("_k") > 0, F.sort_array(F.array_distinct("_k"))).when(F.size("_h") > 0, F.array(least)).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, kept).drop("_h", "_k")
+    kept = F.filter("_h", lambda x: F.shiftrightunsigned(x, 64 - KEEP_BITS) == 0)
+    return df.withColumn(out, F.sort_array(F.array_distinct(kept))).drop("_h")
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -49,8 +48,8 @@ def merged(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Estimated Jaccard similarity; 0 where either sketch is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -59,14 +58,14 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, id_col: str, tie: str, payload: list[str]) -> DataFrame:
-    """``df`` with ``next_<name>`` of the row that follows in order of id and tie; the first follows the last.
+    """``df`` (with a column ``text``) with ``next_<name>`` of the row that follows in order of id and tie; the first follows the last.
 
-    Rows are dealt to ranges of ids by approximate quantiles. The first row of each range is also sent to the
+    Rows are dealt to ranges of ids, as many as the bytes of the texts ask for, by approximate quantiles. The first row of each range is also sent to the
     range before it, so every range finds its followers alone. The driver sees a row per range.
     """
     spark = df.sparkSession
-    ranges = max(MIN_RANGES, 4 * shuffle_partitions(spark))
-    at = df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], RANGE_ERROR)
+    ranges = int(max(2 * shuffle_partitions(spark), -(-(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)))
+    at = df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], min(RANGE_ERROR, 0.2 / ranges))
     edges = sorted(set(at))
     part = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col(id_col).cast("double")))
     own = df.withColumn("_part", F.when(F.col(id_col).isNull(), 0).otherwise(part))
@@ -90,8 +89,9 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str
     own = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = with_next(with_sketch(own, "text", "sketch"), id_col, "tie", ["text", "sketch"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("same_next", F.col("text") == F.col("next_text"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, CAST(n_chars - n_chars DIV 4 AS INT)), left(next_text, CAST(n_chars DIV 4 AS INT)))"))
-    rows = with_sketch(rows.drop("text", "next_text"), "edited", "edited_sketch")
+    rows = with_sketch(rows.withColumn("same_edited", F.col("text") == F.col("edited")).drop("text", "next_text"), "edited", "edited_sketch")
     s, e, n = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         id_col,
@@ -99,8 +99,8 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint(s).alias("fingerprint"),
         fingerprint(e).alias("edited_fingerprint"),
-        likeness(s, e).alias("near_edited"),
-        likeness(s, n).alias("near_next"),
+        F.when(F.col("same_edited"), 1.0).otherwise(likeness(s, e)).alias("near_edited"),
+        F.when(F.col("same_next"), 1.0).otherwise(likeness(s, n)).alias("near_next"),
     )
 
 
