@@ -1,11 +1,10 @@
-"""Best-fit packing of tokenized documents into fixed-length sequences, with repacking and reported bounds.
+"""Best-fit packing of tokenized documents into fixed-length sequences, certified by lower bounds.
 
-Documents are cut into pieces of at most the capacity. Pieces are dealt at random into groups of bounded
-size, and each group packs its own by best-fit decreasing. Dual feasible functions give each group a lower
-bound of its bin count, which is only reported (``certified``). Every group, whether it meets its bound or
-not, gives up the bins that are not full; their pieces are dealt anew, into fewer groups, and packed again,
-until one group holds what is left, a round takes under a tenth of the pieces out, or after MAX_ROUNDS rounds.
-The last groups keep all their bins.
+Documents are cut into pieces of at most the capacity. Pieces are dealt at random into partitions of bounded
+size, and each packs its own by best-fit decreasing. Dual feasible functions give each partition a lower
+bound of its bin count. A partition that meets it is certified, and its bins stay. The others keep their
+full bins only; the pieces of the rest are exchanged: they are dealt anew, into as few partitions, and packed again.
+That goes on until every partition is certified or an exchange saves no bin, in which case the bins from before it stay.
 
 Only lengths and checksums move; texts and ids never leave the task that tokenized them.
 
@@ -17,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,6 @@ from weft.llm.common import durable, table
 CAPACITY = 4096
 END_ID = 1
 GROUP_ITEMS = 60_000
-MAX_ROUNDS = 12
 
 
 def token_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,43 +108,44 @@ def bins_bound(length: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packer(capacity: int, turn: int, last: bool):
+def _packer(capacity: int, turn: int, bound: Callable[[np.ndarray, int], int]):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_id", "piece", "start"], kind="stable").reset_index(drop=True)
         length = pdf["length"].to_numpy()
         bins, offset, room = best_fit_decreasing(length, capacity)
-        bound = bins_bound(length, capacity)
+        certified = len(room) <= bound(length, capacity)
         full = np.asarray(room)[bins] == 0
-        return pdf.assign(sequence_id=(np.int64(turn) << 55) + (pdf["_part"].to_numpy().astype(np.int64) << 24) + bins, offset=offset, certified=len(room) == bound, _done=full | last)
+        return pdf.assign(sequence_id=(np.int64(turn) << 55) + (pdf["_part"].to_numpy().astype(np.int64) << 24) + bins, offset=offset, certified=certified, _done=full | certified)
 
     return pack
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", group_items: int = GROUP_ITEMS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``pieces`` with sequence_id, offset, and whether the sequence's group met its lower bound."""
+def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", group_items: int = GROUP_ITEMS, bound: Callable[[np.ndarray, int], int] = bins_bound) -> DataFrame:
+    """``pieces`` with sequence_id, offset, and whether the sequence's partition met its lower bound."""
     kind = dict(pieces.dtypes)[id_col]
-    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
+    own = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
     left = pieces.select(F.col(id_col).alias("_id"), "piece", "start", "length", "ids_crc32")
-    rows, before, done, turn = left.count(), None, [], 0
+    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, sequence_id long, offset long, certified boolean, _done boolean"
+    rows, turn, out, given, bins = left.count(), 0, None, None, None
     while True:
         parts = -(-rows // group_items) or 1
-        last = parts == 1 or turn + 1 >= max_rounds or (before is not None and rows > 0.9 * before)
         dealt = left.withColumn("_part", F.pmod(F.xxhash64("_id", "piece", "start", F.lit(turn)), F.lit(parts)).cast("int"))
-        schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, sequence_id long, offset long, certified boolean, _done boolean"
-        packed = dealt.groupBy("_part").applyInPandas(_packer(capacity, turn, last), schema)
-        if last:
-            done.append(packed)
-            break
-        packed = durable(packed)
-        done.append(packed.filter("_done"))
-        left = packed.filter("NOT _done").select("_id", "piece", "start", "length", "ids_crc32")
-        rows, before, turn = left.count(), rows, turn + 1
+        packed = durable(dealt.groupBy("_part").applyInPandas(_packer(capacity, turn, bound), schema))
+        # A bin's pieces add up to its fill, so the piece at offset 0 stands for it.
+        first = F.col("offset") == 0
+        now, rows, opened = packed.agg(F.count_if(first), F.count_if(~F.col("_done")), F.count_if(first & ~F.col("_done"))).first()
+        if given is not None and now >= bins:
+            break  # the exchange saved nothing
+        kept = packed.filter("_done")
+        out = kept if out is None else out.unionByName(kept)
+        given, bins, turn = packed.filter("NOT _done"), opened, turn + 1
         if not rows:
+            given = None
             break
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select(F.col("_id").alias(id_col), *names[1:])
+        left = given.select("_id", "piece", "start", "length", "ids_crc32")
+    if given is not None:
+        out = out.unionByName(given)
+    return out.select(F.col("_id").alias(id_col), *own[1:])
 
 
 def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
