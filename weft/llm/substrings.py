@@ -5,14 +5,16 @@ same document and earlier start). Every such string holds an anchor: the least-h
 it, which depends on its bytes alone. So equal strings share an anchor at the same place, and all strings around
 an anchor lie in its fragment of under two windows.
 
-1. Anchors are found, hashed with their fragments, and dealt to buckets by anchor hash. Equal fragments are one:
-   all but the first are removed as a whole, already within each task, so copies never gather.
-2. Fragments whose anchor stands in other surroundings too go, with their bytes, to the shard of the anchor.
-3. Each shard's suffix array is built by induced sorting; permuted common prefixes part it into classes of equal
-   strings, and all but the earliest string of a class are removed.
+1. Anchors are found and dealt to buckets by their hash, with a hash of their fragment. Within a task, fragments whose
+   bytes equal an earlier one's are removed as a whole.
+2. A bucket knows from the hashes which anchors stand more than once; their fragments go, with their bytes, to the
+   shard of the anchor. Copies of one fragment beyond RUN_COPIES are dealt to more shards, each with the first of them.
+3. A shard removes fragments whose bytes equal an earlier one's; of the others its suffix array is built by induced
+   sorting, permuted common prefixes part it into classes of equal strings, and all but the earliest string of a class
+   are removed.
 
-Anchors with very many different surroundings are not sent to one shard: the strings of their fragments are hashed
-(128 bits) and counted one by one.
+Hashes only tell where to look: bytes and arrays decide. Anchors with more than MOST_FRAGMENTS surroundings are
+lengthened to the whole string: their fragments fall into strings of WINDOW bytes, which go through the same steps.
 
 Defined results: a null text is an empty text; documents shorter than a window lose nothing; ids tell texts apart, so
 rows with equal ids must have equal texts, are the same document and get equal results; a null id comes before all
@@ -39,8 +41,8 @@ from weft.llm.suffixes import common_prefixes, suffix_array
 WINDOW, ANCHOR = 100, 32
 #: Text of one bucket, fragments of one shard, text of one pass and of one flush, in bytes.
 BUCKET_BYTES, SHARD_BYTES, PASS_BYTES, FLUSH_BYTES = 32_000_000, 1_000_000, 262_144, 12_000_000
-#: Different surroundings of an anchor that a shard takes.
-MOST_FRAGMENTS = 2_000
+#: Different surroundings of an anchor that a shard takes, and copies of a fragment.
+MOST_FRAGMENTS, RUN_COPIES = 2_000, 500
 NULL_ID = -(1 << 63)
 _STEP = 1 << 40  # more than a text's length
 
@@ -84,12 +86,12 @@ def _pieces(ids: list[int], texts: list[bytes]):
 
 
 def find_anchors(ids: list[int], texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All anchors: document, place, bytes of the fragment before (left) and from (right) the place, and the hashes of
-    anchor (h) and fragment (g)."""
+    """All anchors: document, place, bytes of the fragment before (left) and from (right) the place, the hashes of
+    anchor (h) and fragment (g), and where the fragment begins (at) in the bytes ``flat``."""
     parts = list(_pieces(ids, texts))
-    names = {"doc": np.int64, "pos": np.int64, "left": np.uint8, "right": np.uint8, "h": np.uint64, "g": np.uint64}
+    names = _KINDS | {"at": np.int64}
     if not parts:
-        return {k: np.zeros(0, t) for k, t in names.items()}
+        return {k: np.zeros(0, t) for k, t in names.items()} | {"flat": np.zeros(0, np.uint8)}
     size = np.array([len(p[3]) for p in parts])
     at = np.concatenate([[0], np.cumsum(size)])
     n, reach = int(at[-1]), WINDOW - ANCHOR + 1
@@ -112,7 +114,7 @@ def find_anchors(ids: list[int], texts: list[bytes]) -> dict[str, np.ndarray]:
     s = pos - left
     g = _mix(_mix((total[pos + right] - total[s]) * down[s]) + (left * 256 + right).astype(np.uint64))
     doc = np.array([p[0] for p in parts], np.int64)[of]
-    return dict(zip(names, (doc, place, left.astype(np.uint8), right.astype(np.uint8), h, g)))
+    return dict(zip(names, (doc, place, left.astype(np.uint8), right.astype(np.uint8), h, g, s))) | {"flat": flat}
 
 
 def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,33 +130,75 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[at], start[at], np.maximum.reduceat(end + number, at) - number[at]
 
 
-def _collapse(a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Only the first of equal fragments of an anchor, and the spans of the others."""
-    order = np.lexsort((a["pos"], a["doc"], a["g"], a["h"]))
-    a = {k: v[order] for k, v in a.items()}
-    new = np.concatenate([[True], (a["h"][1:] != a["h"][:-1]) | (a["g"][1:] != a["g"][:-1])]) if len(order) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (a["doc"] != a["doc"][first]) | (a["pos"] != a["pos"][first])
-    later &= a["left"].astype(np.int64) + a["right"] >= WINDOW
-    c = {k: v[later] for k, v in a.items()}
-    return {k: v[new] for k, v in a.items()}, merge_spans(c["doc"], c["pos"] - c["left"], c["pos"] + c["right"])
+_KINDS = dict(doc=np.int64, pos=np.int64, left=np.uint8, right=np.uint8, h=np.uint64, g=np.uint64)
+_ANCHOR_COLUMNS = tuple(_KINDS)
 
 
-_ANCHOR_COLUMNS = ("doc", "pos", "left", "right", "h", "g")
-_KINDS = dict(doc=np.int64, pos=np.int64, left=np.uint8, right=np.uint8, h=np.uint64, g=np.uint64)
+def _equal_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether flat[a : a + size] equals flat[b : b + size], for each of them (none is empty)."""
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 8192):
+        n = size[k : k + 8192]
+        begin = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(begin, n)
+        out[k : k + 8192] = np.logical_and.reduceat(flat[np.repeat(a[k : k + 8192], n) + step] == flat[np.repeat(b[k : k + 8192], n) + step], begin)
+    return out
+
+
+def _ordered(a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Anchors by hash, fragment hash, document and place, and the number of the first of each fragment."""
+    order = np.lexsort((a["pos"], a["doc"], a["g"], a["h"]))
+    a = {k: v[order] for k, v in a.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (a["h"][1:] != a["h"][:-1]) | (a["g"][1:] != a["g"][:-1])
+    return a, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _collapse(a: dict[str, np.ndarray], flat: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The anchors without those whose fragment equals an earlier one's byte by byte, and the spans of these."""
+    a, first = _ordered(a)
+    size = a["left"].astype(np.int64) + a["right"]
+    later = np.flatnonzero((first != np.arange(len(first))) & (size == size[first]) & (size > 0))
+    same = np.zeros(len(first), bool)
+    same[later] = _equal_bytes(flat, a["at"][later], a["at"][first[later]], size[later])
+    gone = same & (size >= WINDOW) & ((a["doc"] != a["doc"][first]) | (a["pos"] != a["pos"][first]))
+    c = {k: v[gone] for k, v in a.items()}
+    return {k: v[~same] for k, v in a.items()}, merge_spans(c["doc"], c["pos"] - c["left"], c["pos"] + c["right"])
+
+
+def _strings(ids: list[int], texts: list[bytes], parts: list[list[dict]]) -> dict[str, np.ndarray]:
+    """All strings of WINDOW bytes in the parts of the texts, as anchors that are their own fragment."""
+    doc, pos, at, h, begin = [], [], [], [], 0
+    for i, t, own in zip(ids, texts, parts):
+        for s in sorted({k for p in own for k in range(p["s"], p["e"] - WINDOW + 1)}):
+            doc.append(i)
+            pos.append(s)
+            at.append(begin + s)
+            h.append(xxhash.xxh3_64_intdigest(t[s : s + WINDOW]))
+        begin += len(t)
+    n, h = len(doc), np.array(h, np.uint64)
+    values = (doc, pos, np.zeros(n), np.full(n, WINDOW), h, h, at)
+    return {k: np.asarray(v).astype(t) for (k, t), v in zip((_KINDS | {"at": np.int64}).items(), values)} | {"flat": np.frombuffer(b"".join(texts), np.uint8)}
 
 
 def _anchor_rows(own: DataFrame, buckets: int) -> DataFrame:
-    """(id, data) to a row for each bucket and flush with its anchors, and rows of spans (h holds the ends)."""
+    """(id, data[, parts]) to a row for each bucket and flush with its anchors, and rows of spans (h holds the ends).
+
+    With ``parts`` all strings in these stretches are anchors.
+    """
     schema = "bucket int, spans boolean, " + ", ".join(f"{c} binary" for c in _ANCHOR_COLUMNS)
+    whole = "parts" not in own.columns
 
     def flush(found: list[dict[str, np.ndarray]]):
-        first, (doc, start, end) = _collapse({k: np.concatenate([f[k] for f in found]) for k in _ANCHOR_COLUMNS})
+        flat = [f.pop("flat") for f in found]
+        for f, base in zip(found, np.cumsum([0, *map(len, flat)]).tolist()):
+            f["at"] += base
+        first, (doc, start, end) = _collapse({k: np.concatenate([f[k] for f in found]) for k in (*_ANCHOR_COLUMNS, "at")}, np.concatenate(flat))
         bucket = (first["h"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         first = {k: v[order] for k, v in first.items()}
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
+        full = np.flatnonzero(at[1:] > at[:-1]).tolist()
         rows = {"bucket": list(full), "spans": [False] * len(full)} | {k: [first[k][at[b] : at[b + 1]].tobytes() for b in full] for k in _ANCHOR_COLUMNS}
         if len(doc):
             for k, v in {"bucket": int(doc[0]) % buckets, "spans": True, "doc": doc.tobytes(), "pos": start.tobytes(), "h": end.tobytes(), "left": b"", "right": b"", "g": b""}.items():
@@ -166,8 +210,8 @@ def _anchor_rows(own: DataFrame, buckets: int) -> DataFrame:
         found, size = [], 0
         for b in slices(batches, "data", PASS_BYTES):
             ids, texts = b.column("id").to_pylist(), b.column("data").to_pylist()
-            found.append(find_anchors(ids, texts))
-            size += sum(map(len, texts))
+            found.append(find_anchors(ids, texts) if whole else _strings(ids, texts, b.column("parts").to_pylist()))
+            size += sum(map(len, texts)) + 34 * len(found[-1]["doc"])
             if size >= FLUSH_BYTES:
                 yield flush(found)
                 found, size = [], 0
@@ -177,33 +221,44 @@ def _anchor_rows(own: DataFrame, buckets: int) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's anchors to spans to remove (h null) and fragments to compare (h, and whether they are too many)."""
-    spans = pdf[pdf["spans"]]
-    doc, start, end = (np.frombuffer(b"".join(spans[k]), np.int64) for k in ("doc", "pos", "h"))
-    rows = pdf[~pdf["spans"]]
-    a = {k: np.frombuffer(b"".join(rows[k]), _KINDS[k]) for k in _ANCHOR_COLUMNS}
-    order = np.argsort(a["h"], kind="stable")
-    h = a["h"][order]
-    same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[1:] == h[:-1]
-    again = order[same[1:] | same[:-1]]
-    a, more = _collapse({k: v[again] for k, v in a.items()})
-    doc, start, end = merge_spans(*(np.concatenate(x) for x in zip((doc, start, end), more)))
-    edge = np.flatnonzero(np.concatenate([[True], a["h"][1:] != a["h"][:-1]])) if len(a["h"]) else np.zeros(0, np.int64)
-    size = np.repeat(np.diff(edge, append=len(a["h"])), np.diff(edge, append=len(a["h"])))
-    keep = (size > 1) & (a["left"].astype(np.int64) + a["right"] >= WINDOW)
-    # Anchors are renamed by number where they go on, with signs as the column type has them.
-    out = pd.DataFrame({"doc": doc, "s": start, "e": end})
-    out["h"], out["many"] = pd.array([None] * len(doc), "Int64"), False
-    b = pd.DataFrame({"doc": a["doc"][keep], "s": (a["pos"] - a["left"])[keep], "e": (a["pos"] + a["right"])[keep], "h": pd.array(a["h"][keep].view(np.int64), "Int64"), "many": size[keep] > MOST_FRAGMENTS})
-    return pd.concat([out, b], ignore_index=True)
+def _meeter(most: int, run: int):
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's anchors to spans to remove (h null) and fragments to compare: h, which run of copies (of the same
+        h and fragment) they go with, and whether their anchor is to be lengthened."""
+        spans = pdf[pdf["spans"]]
+        doc, start, end = merge_spans(*(np.frombuffer(b"".join(spans[k]), np.int64) for k in ("doc", "pos", "h")))
+        rows = pdf[~pdf["spans"]]
+        a = {k: np.frombuffer(b"".join(rows[k]), t) for k, t in _KINDS.items()}
+        order = np.argsort(a["h"], kind="stable")
+        h = a["h"][order]
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        again = order[same[1:] | same[:-1]]
+        a, first = _ordered({k: v[again] for k, v in a.items()})
+        copy = np.arange(len(first)) - first
+        edge = np.ones(len(first), bool)
+        edge[1:] = a["h"][1:] != a["h"][:-1]
+        different = np.add.reduceat((copy == 0).astype(np.int64), np.flatnonzero(edge))[np.cumsum(edge) - 1] if len(first) else copy
+        copies = np.bincount(first, minlength=len(first))[first]
+        long, hot = a["left"].astype(np.int64) + a["right"] >= WINDOW, different > most
+        # The fragments of an anchor meet, but for those of a hot one, whose strings meet one by one; its copies go apart.
+        part = copy // run + np.where(hot, (a["g"] >> np.uint64(1)).view(np.int64) >> 1, 0)
+        met, strings = np.flatnonzero(long & (~hot | (copies > 1))), np.flatnonzero(long & hot & (copy == 0))
+        heads = np.flatnonzero(long & (copy % run == 0) & (copy > 0))  # each later run begins with the first copy
+        rows = np.concatenate([met, first[heads], strings])
+        part, many = np.concatenate([part[met], part[heads], part[strings]]), np.arange(len(rows)) >= len(met) + len(heads)
+        out = pd.DataFrame({"doc": doc, "s": start, "e": end, "h": pd.array([None] * len(doc), "Int64"), "part": 0, "many": False})
+        found = pd.DataFrame({"doc": a["doc"][rows], "s": (a["pos"] - a["left"])[rows], "e": (a["pos"] + a["right"])[rows], "h": pd.array(a["h"][rows].view(np.int64), "Int64"), "part": part, "many": many})
+        return pd.concat([out, found], ignore_index=True)
+
+    return meet
 
 
 def _fragment_rows(own: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     """The bytes of the wanted fragments: a row for each shard and flush."""
     schema = "shard int, doc binary, s binary, size binary, data binary"
-    per_doc = wanted.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e", "h"))).alias("parts"))
+    shard = F.pmod(F.xxhash64("h", "part"), F.lit(shards)).cast("int")
+    per_doc = wanted.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e", shard.alias("shard")))).alias("parts"))
     joined = own.join(per_doc, own["id"] == per_doc["doc"]).select("id", "data", "parts")
 
     def flush(rows):
@@ -216,7 +271,7 @@ def _fragment_rows(own: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
         rows = []
         for b in slices(batches, "data"):
             for i, t, parts in zip(b.column("id").to_pylist(), b.column("data").to_pylist(), b.column("parts").to_pylist()):
-                rows += ((p["h"] % shards, i, p["s"], t[p["s"] : p["e"]]) for p in parts)
+                rows += ((p["shard"], i, p["s"], t[p["s"] : p["e"]]) for p in parts)
                 if len(rows) > 60_000:
                     yield from flush(rows)
                     rows = []
@@ -255,47 +310,47 @@ def shard_repeats(doc: np.ndarray, s: np.ndarray, size: np.ndarray, data: bytes)
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    # Rows come in any order; the shard's arrays do not depend on it.
+    # Rows come in any order; what is found does not depend on it.
     doc, s = (np.frombuffer(b"".join(pdf[k]), np.int64) for k in ("doc", "s"))
-    got = shard_repeats(doc, s, np.frombuffer(b"".join(pdf["size"]), np.int32).astype(np.int64), b"".join(pdf["data"]))
+    size, data = np.frombuffer(b"".join(pdf["size"]), np.int32).astype(np.int64), b"".join(pdf["data"])
+    begin = np.cumsum(size) - size
+    first: dict[bytes, int] = {}
+    order = np.lexsort((s, doc))
+    copy_of = np.empty(len(order), np.int64)
+    for k, a, n in zip(order.tolist(), begin[order].tolist(), size[order].tolist()):
+        copy_of[k] = first.setdefault(data[a : a + n], k)
+    copies = np.flatnonzero((doc != doc[copy_of]) | (s != s[copy_of]))
+    own = np.fromiter(first.values(), np.int64, len(first))
+    got = shard_repeats(doc[own], s[own], size[own], b"".join(first))
+    got = merge_spans(*(np.concatenate([x, y]) for x, y in zip(got, (doc[copies], s[copies], s[copies] + size[copies]))))
     return pd.DataFrame(dict(zip(("doc", "s", "e"), got)))
 
 
-def _strings_one_by_one(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Spans of repeated strings in fragments of anchors with too many surroundings, by hashes of the strings."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
-    joined = own.join(per_doc, own["id"] == per_doc["doc"]).select("id", "data", "parts")
-
-    def run(batches):
-        for b in slices(batches, "data"):
-            doc, s, key = [], [], []
-            for i, t, parts in zip(b.column("id").to_pylist(), b.column("data").to_pylist(), b.column("parts").to_pylist()):
-                for at in sorted({k for p in parts for k in range(p["s"], p["e"] - WINDOW + 1)}):
-                    doc.append(i)
-                    s.append(at)
-                    key.append(xxhash.xxh128_digest(t[at : at + WINDOW]))
-            yield pa.record_batch({"doc": pa.array(doc, pa.int64()), "s": pa.array(s, pa.int64()), "key": pa.array(key, pa.binary())})
-
-    rows = durable(joined.mapInArrow(run, "doc long, s long, key binary"))
-    firsts = rows.groupBy("key").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(firsts, "key").filter("doc <> first.doc OR s <> first.s").select("doc", "s", (F.col("s") + WINDOW).alias("e"))
-
-
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", most: int = MOST_FRAGMENTS, run: int = RUN_COPIES) -> DataFrame:
     """(doc, spans): the spans to remove from each document that has any; they may overlap. A null id is NULL_ID here."""
+    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
-    met = durable(_anchor_rows(own, int(buckets)).groupBy("bucket").applyInPandas(_meet, "doc long, s long, e long, h long, many boolean"))
-    wanted = met.filter("h IS NOT NULL")
+    least = 2 * shuffle_partitions(spark)
+
+    def meet(rows: DataFrame, bytes_: int) -> DataFrame:
+        buckets = int(max(least, -(-bytes_ // BUCKET_BYTES)))
+        return durable(_anchor_rows(rows, buckets).groupBy("bucket").applyInPandas(_meeter(most, run), "doc long, s long, e long, h long, part long, many boolean"))
+
+    met = meet(own, size)
     spans = met.filter("h IS NULL").select("doc", "s", "e")
-    few = wanted.filter("NOT many")
-    much, many = wanted.agg(F.sum(F.when(~F.col("many"), F.col("e") - F.col("s"))), F.sum(F.col("many").cast("int"))).first()
+    wanted = met.filter("h IS NOT NULL AND NOT many")
+    width = F.col("e") - F.col("s")
+    much, long = met.filter("h IS NOT NULL").agg(F.sum(F.when(~F.col("many"), width)), F.sum(F.when(F.col("many"), (width - WINDOW + 1) * 64))).first()
+    if long:  # strings of lengthened anchors
+        parts = met.filter("many").groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
+        strings = meet(own.join(parts, own["id"] == parts["doc"]).select("id", "data", "parts"), long)
+        spans = spans.unionByName(strings.filter("h IS NULL").select("doc", "s", "e"))
+        wanted = wanted.unionByName(strings.filter("h IS NOT NULL"))
+        much = (much or 0) + (strings.filter("h IS NOT NULL").agg(F.sum(width)).first()[0] or 0)
     if much:
-        shards = max(2 * shuffle_partitions(docs.sparkSession), -(-much // SHARD_BYTES))
-        spans = spans.unionByName(durable(_fragment_rows(own, few, int(shards)).groupBy("shard").applyInPandas(_shard, "doc long, s long, e long")))
-    if many:
-        spans = spans.unionByName(durable(_strings_one_by_one(own, wanted.filter("many"))))
+        shards = int(max(least, -(-much // SHARD_BYTES)))
+        spans = spans.unionByName(durable(_fragment_rows(own, wanted, shards).groupBy("shard").applyInPandas(_shard, "doc long, s long, e long")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -309,16 +364,16 @@ def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(data[a:b] for a, b in zip(at[::2], at[1::2])), len(s)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text: str, keep: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text: str, keep: list[str], **limits: int) -> DataFrame:
     """(row, data, spans): the columns ``keep`` as one, the text's bytes, and the spans to remove."""
-    spans = repeated_spans(docs, id_col=id_col, text=text)
+    spans = repeated_spans(docs, id_col=id_col, text=text, **limits)
     own = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
     return own.join(spans, own["id"] == spans["doc"], "left").select("row", "data", "spans")
 
 
-def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes kept."""
-    df = _with_spans(docs, id_col, text, [id_col])
+    df = _with_spans(docs, id_col, text, [id_col], **limits)
 
     def run(batches):
         for b in slices(batches, "data"):

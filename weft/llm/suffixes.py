@@ -1,15 +1,19 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-``suffix_array`` sorts a byte string: suffixes are classified, the leftmost-smaller (LMS) ones are sorted by naming
-the substrings between them and recurring on the names, and all others are induced from those in two linear passes.
-The first level, where the alphabet is small, is induced bucket by bucket; the names' levels, with many symbols, are put
-in order by the symbols up to the next LMS suffix and the place of that. All steps work on whole numpy arrays.
+``suffix_array`` sorts a string of small numbers: suffixes are classified, the leftmost-smaller (LMS) ones are put in the
+order of the substrings up to the next of them by inducing from them unsorted, equal substrings get equal names, the
+string of names is sorted by the same steps unless all differ, and all suffixes are induced from the sorted LMS ones.
+Every level does so in time linear in its length. Strings of few symbols are induced bucket by bucket in numpy, strings
+of many symbols (names) place by place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Strings of up to this many symbols are induced bucket by bucket.
+FEW_SYMBOLS = 1024
+
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the end of the string is smaller than all."""
@@ -20,72 +24,17 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(run, append=n))
 
 
-def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
-    """A name for each substring from ``lms`` to ``end``, in their order by symbols and types, and the number of names."""
-    n = len(t)
-    sym = np.concatenate([(t.astype(np.uint64) << np.uint64(1)) + small + np.uint64(2), np.zeros(8, np.uint64)])
-    bits = np.uint64(int(sym.max()).bit_length())
-    take = int(64 // int(bits))
-    name = np.zeros(len(lms), np.int64)
-    todo, at = np.arange(len(lms)), lms.copy()
-    while len(todo):
-        key = np.zeros(len(todo), np.uint64)
-        for k in range(take):
-            here = at + k < end[todo]
-            key = (key << bits) | np.where(here, sym[np.minimum(at + k, n)], np.uint64(0))
-        # Refine: equal names so far are told apart by the next symbols.
-        order = np.lexsort((key, name[todo])) if len(todo) < len(lms) else np.argsort(key, kind="stable")
-        a, b = name[todo][order], key[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = np.concatenate([[True], a[1:] != a[:-1]])
-        within = np.cumsum(new) - 1
-        within -= np.maximum.accumulate(np.where(first, within, 0))
-        # Names are places among all: the number of smaller ones.
-        start = np.flatnonzero(new)
-        size = np.diff(start, append=len(order))
-        base = np.flatnonzero(first)
-        offset = start - base[np.searchsorted(base, start, "right") - 1]
-        name[todo[order]] = np.repeat(a[start] + offset, size)
-        more = (at + take < end[todo])
-        still = np.zeros(len(order), bool)
-        still[order] = np.repeat(size > 1, size)
-        # All substrings that may share a name go on together, ended ones with empty keys.
-        keep = still & _any_in_group(name[todo], more)
-        todo, at = todo[keep], at[keep] + take
-    dense = np.unique(name, return_inverse=True)
-    return dense[1], len(dense[0])
-
-
-def _any_in_group(group: np.ndarray, flag: np.ndarray) -> np.ndarray:
-    hot = np.unique(group[flag])
-    return np.isin(group, hot)
-
-
-def _sort_names(s: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names: recur on its own LMS substrings, then order every suffix by its symbols up to
-    the next LMS one and the place of that."""
-    n = len(s)
-    if n < 2 or int(s.max()) + 1 == n:
-        return np.argsort(s, kind="stable")
-    small = _types(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    follows = np.searchsorted(lms, np.arange(n), "right")
-    ends = np.append(lms + 1, n)[follows]
-    names, _ = _names(s, small, np.arange(n), ends)
-    place = np.full(len(lms) + 1, -1, np.int64)
-    if len(lms):
-        place[_sort_names(_names(s, small, lms, np.append(lms[1:] + 1, n))[0])] = np.arange(len(lms))
-    return np.lexsort((place[follows], names))
-
+def _by_bucket(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Both inducing passes, a bucket at a time: what a bucket holds is known once the buckets before it are done.
 
-def _induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarray:
-    """Both inducing passes, a bucket at a time: what a bucket holds is known once the buckets before it are done."""
+    ``lms`` are the LMS suffixes, of each first symbol in the order that is to be induced from.
+    """
     n = len(t)
     symbols = int(t.max()) + 1
-    count = np.bincount(t, minlength=symbols)
-    start = np.concatenate([[0], np.cumsum(count)])
+    start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=symbols))])
     sa = np.empty(n, np.int64)
-    lms_of = np.split(lms_sorted, np.cumsum(np.bincount(t[lms_sorted], minlength=symbols))[:-1])
+    first = t[lms]
+    lms_of = np.split(lms[np.argsort(first, kind="stable")], np.cumsum(np.bincount(first, minlength=symbols))[:-1])
 
     def deal(found: np.ndarray, at: np.ndarray, step: int) -> None:
         """Append suffixes to their buckets in the order given, from the front (step 1) or the back (step -1)."""
@@ -129,16 +78,74 @@ def _induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndar
     return sa
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
+def _one_by_one(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As ``_by_bucket``, a place at a time."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t))
+    s, is_small = t.tolist(), small.tolist()
+    sa = [0] * (n + 1)  # one more than the suffix; 0 is an empty place
+    tail = ends.tolist()
+    for i in lms[::-1].tolist():
+        c = s[i]
+        tail[c] -= 1
+        sa[tail[c]] = i + 1
+    head = [0, *ends[:-1].tolist()]
+    c = s[n - 1]
+    sa[head[c]] = n
+    head[c] += 1
+    for k in range(n):
+        i = sa[k] - 2
+        if i >= 0 and not is_small[i]:
+            c = s[i]
+            sa[head[c]] = i + 1
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = sa[k] - 2
+        if i >= 0 and is_small[i]:
+            c = s[i]
+            tail[c] -= 1
+            sa[tail[c]] = i + 1
+    return np.array(sa[:n], np.int64) - 1
+
+
+def _differ(t: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each LMS substring differs from the one before it in the order given; ``size`` tells how long they are,
+    0 for the last of the string, which differs from all."""
+    new = np.ones(len(lms), bool)
+    pair = np.flatnonzero((size[1:] == size[:-1]) & (size[1:] > 0)) + 1
+    if len(pair):
+        n = size[pair]
+        at = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(at, n)
+        same = t[np.repeat(lms[pair], n) + step] == t[np.repeat(lms[pair - 1], n) + step]
+        new[pair] = ~np.logical_and.reduceat(same, at)
+    return new
+
+
+def suffix_array(t: np.ndarray, *, one_by_one: bool | None = None) -> np.ndarray:
     """The starts of all suffixes of a string of small non-negative symbols, in order."""
     n = len(t)
     if n < 2:
         return np.arange(n)
+    if one_by_one is None:
+        one_by_one = int(t.max()) >= FEW_SYMBOLS
+    induce = _one_by_one if one_by_one else _by_bucket
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) > 1:
-        lms = lms[_sort_names(_names(t, small, lms, np.append(lms[1:] + 1, n))[0])]
-    return _induce(t, small, lms)
+    if len(lms) < 2:
+        return induce(t, small, lms)
+    place = np.full(n, -1, np.int64)
+    place[lms] = np.arange(len(lms))
+    first = induce(t, small, lms)
+    number = place[first]
+    number = number[number >= 0]  # LMS suffixes by their substrings
+    size = np.append(np.diff(lms) + 1, 0)
+    new = _differ(t, lms[number], size[number])
+    names = np.empty(len(lms), np.int64)
+    names[number] = np.cumsum(new) - 1
+    order = number if new.all() else suffix_array(names, one_by_one=one_by_one or None)
+    return induce(t, small, lms[order])
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, begins: np.ndarray | None = None) -> np.ndarray:
