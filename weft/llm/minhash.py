@@ -3,14 +3,20 @@
 A document's set holds its distinct word shingles. Under each permutation both the least and the greatest
 hash are kept, so the signature has two unbiased values for each evaluation; runs of least and runs of
 greatest values make the bands. Documents with equal sets are one node. Nodes that share a band are compared
-with one node of the band, not with each other; sets are compared in full before a link counts. Rounds with
-other band leaders follow, only where a band still spans several components. What then still stands apart is
-compared in blocks, so no candidate of the bands is left out.
+with leaders of the band, not with each other, and sets are compared in full before a link counts:
+
+1. each node with the least leader of all its bands;
+2. where a band still spans several components, each of its nodes with the band's leader;
+3. the nodes of bands that still do with each other, by prefixes: the tokens of a set are put in order from the rarest
+   among these nodes on, and two sets similar enough share one of the first fifth (and one). A token's nodes are a
+   list; they are compared with LEADERS leaders of it, which then leave it, until all that are left in a list stand in
+   one component. So no candidate of the bands is left out, whatever the size of a band, and no pairs are made within it.
 
 With 44 bands of 6 values a pair of similarity 0.8 shares a band but for about 1.5 in a million.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; documents with fewer
-words than a shingle have one shingle, the whole sequence; repeated rows are linked with each other; the least
+words than a shingle have one shingle, the whole sequence; repeated rows are linked with each other, rows of one
+id with different texts go each by its text; the least
 id of a component stands for it (a null id stands for nothing and is never the least); an empty table gives an
 empty result; extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
@@ -18,10 +24,9 @@ empty result; extra columns are ignored by ``near_duplicates`` and kept by ``dro
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import slices
@@ -29,9 +34,8 @@ from weft.llm.common import durable, table
 
 BANDS, ROWS = 44, 6
 PERCENT = 80
-LEADER_ROUNDS = 1
-#: Nodes compared at once where bands still span several components.
-BLOCK = 512
+#: Rounds with leaders of bands, and leaders of a token's list in one round.
+LEADER_ROUNDS, LEADERS = 2, 8
 _WORD_CACHE = 150_000
 
 
@@ -182,83 +186,109 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components between the nodes of two blocks (x and y; one block: x alone), one for each two components."""
-    x, y = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
-    size = pdf["set"].map(len).to_numpy() // 8
-    token = np.unique(np.frombuffer(b"".join(pdf["set"]), np.int64), return_inverse=True)[1]
-    row = np.repeat(np.arange(len(pdf)), size)
-    shared = np.zeros((len(x), len(y)), np.float32)
-    at_x, at_y = (np.flatnonzero((pdf["side"] != k).to_numpy()) for k in (2, 1))
-    for k in range(0, int(token.max(initial=-1)) + 1, 4096):
-        mine = (token >= k) & (token < k + 4096)
-        m = np.zeros((len(pdf), 4096), np.float32)
-        m[row[mine], token[mine] - k] = 1
-        shared += m[at_x] @ m[at_y].T
-    total = size[at_x][:, None] + size[at_y][None, :] - shared
-    label_x, label_y = x["label"].to_numpy(), y["label"].to_numpy()
-    i, j = np.nonzero((100 * shared >= percent * total) & (label_x[:, None] != label_y[None, :]))
-    found = pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j], "la": label_x[i], "lb": label_y[j]})
-    return found.drop_duplicates(["la", "lb"])[["a", "b"]]
-
-
-def _cluster_links(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes that stand in different components although bands connect them.
-
-    Such nodes form clusters. A cluster is dealt to blocks of BLOCK nodes, and every two blocks are compared as one
-    matrix product, so a cluster of any size is spread over tasks of bounded size and only links leave them.
-    """
-    split = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead")).filter("lo <> hi")
-    rest = durable(state.join(split.select("key", "lead"), "key").select("node", "lead", "label").distinct())
-    clusters = components(rest.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()).withColumnRenamed("label", "cluster")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    nodes = rest.select("node", "label").distinct().join(clusters, "node").join(blocks, "cluster")
-    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    met = nodes.select("cluster", "node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
-    # A node stands in its own block's pair once, on both sides.
-    kind = dict(state.dtypes)["node"]
-    return met.join(sets, "node").groupBy("cluster", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, percent), f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _prefixes(own: DataFrame, percent: int) -> DataFrame:
+    """(node, set) to (token, node, size): the rarest tokens of each set, one of which it shares with any similar one."""
+    kind = dict(own.dtypes)["node"]
+
+    def run(batches):
+        for b in slices(batches, "set"):
+            sets = [np.frombuffer(x, np.int64) for x in b.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            of = np.repeat(np.arange(len(sets)), size)
+            yield pa.record_batch({"node": b.column("node").take(pa.array(of)), "size": pa.array(size[of], pa.int32()), "token": pa.array(np.concatenate(sets))})
+
+    tokens = durable(own.mapInArrow(run, f"node {kind}, size int, token long"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Tokens that no other node has come first and need no list.
+    shared = tokens.join(often, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    most = F.col("size") - F.expr(f"(size * {percent} + 99) DIV 100").cast("int") + 1 - (F.col("size") - F.size("t"))
+    prefix = F.slice("t", F.lit(1), F.greatest(most, F.lit(0)))
+    return durable(shared.select("node", "size", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")))
+
+
+class _Links:
+    """Links found so far, pairs compared so far, and the components they make."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self._sets, self._percent = sets, percent
+        self.links = self.seen = self.labels = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare those (a, b, a < b) of the pairs that were not compared before."""
+        pairs = durable(pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti"))
+        new = durable(_linked(pairs, self._sets, self._percent))
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        if not new.isEmpty():
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.labels = components(self.links)
+
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` (node, ...) with the component of each."""
+        if self.labels is None:
+            return nodes.withColumn("label", F.col("node"))
+        return nodes.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def near(self) -> Column:
+        """Whether the node and its leader can be similar, by size."""
+        return 100 * F.least("size", "lead.size") >= self._percent * F.greatest("size", "lead.size")
+
+
+def _pair() -> tuple[Column, Column]:
+    return F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")
+
+
+def _compare_bands(found: _Links, own: DataFrame, rounds: int) -> DataFrame | None:
+    """Compare the nodes (node, size, keys) with leaders of their bands; those of bands that still span components."""
+    if rounds:
+        state = own.select("node", "size", F.explode("keys").alias("key"))
+        lead = state.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"))
+        least = state.join(lead, "key").filter("node <> lead.node").filter(found.near()).groupBy("node", "size").agg(F.min("lead").alias("lead"))
+        found.compare(least.select(*_pair()).distinct())
+    for turn in range(rounds):
+        state = found.labelled(own).select("node", "size", "label", F.explode("keys").alias("key"))
+        lead = state.groupBy("key").agg(F.min(F.struct("node", "size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        open_ = state.join(lead.select("key", "lead"), "key")
+        if turn == rounds - 1:
+            return open_.select("node").distinct()
+        found.compare(open_.filter("label <> lead.label").filter(found.near()).select(*_pair()).distinct())
+    return own.select("node")
+
+
+def _compare_lists(found: _Links, lists: DataFrame) -> None:
+    """Compare the nodes of each token's list (token, node, size) until what is left in it stands in one component."""
+    while True:
+        state = found.labelled(lists)
+        split = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+        state = durable(state.join(split, "token"))
+        if state.isEmpty():
+            return
+        lead = durable(state.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("node", "size", "label")).alias("lead")).drop("salt"))
+        met = state.join(lead, "token").filter("label <> lead.label").filter(found.near())
+        found.compare(met.select(*_pair()).distinct())
+        # A leader has met all others of the list.
+        lists = durable(state.join(lead.select("token", F.col("lead.node").alias("node")), ["token", "node"], "left_anti").select("token", "node", "size"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = LEADER_ROUNDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     signed = durable(signatures(own, shingle, bands=bands, rows=rows))
     # Documents with equal sets are one node, named by their least id.
     nodes = durable(signed.filter("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("node")))
-    of_node = signed.join(nodes.select(F.col("node").alias("id"), "set_hash"), ["id", "set_hash"]).select(F.col("id").alias("node"), "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
-    banded = of_node.select("node", "n_shingles", F.explode("bands").alias("key"))
+    of_node = signed.join(nodes.select(F.col("node").alias("id"), "set_hash"), ["id", "set_hash"]).dropDuplicates(["id", "set_hash"])
+    banded = of_node.select(F.col("id").alias("node"), F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    banded = durable(banded.join(shared, "key"))
-    texts = own.join(banded.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "text")
+    # A node's bands that it shares, at most as many as there are bands.
+    candidates = durable(banded.join(shared, "key").groupBy("node", "size").agg(F.collect_list("key").alias("keys")))
+    texts = own.join(candidates.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "text")
     sets = durable(_sets(texts, shingle).dropDuplicates(["node", "set"]))
 
-    links, seen, labels = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        if labels is None:
-            state = banded.withColumn("label", F.col("node"))
-        else:
-            state = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn == LEADER_ROUNDS:
-            new = durable(_cluster_links(state, sets, percent))
-        else:
-            # A band's leader: its least node at first, then drawn by a hash.
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            lead = state.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "label", "n_shingles")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-            found = state.join(lead.select("key", "lead"), "key").filter("label <> lead.label")
-            pairs = found.filter(100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-            if seen is not None:
-                pairs = pairs.join(seen, ["a", "b"], "left_anti")
-            pairs = durable(pairs)
-            new = durable(_linked(pairs, sets, percent))
-            seen = pairs if seen is None else seen.unionByName(pairs)
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+    found = _Links(sets, percent)
+    left = durable(_compare_bands(found, candidates, rounds))
+    if not left.isEmpty():
+        _compare_lists(found, _prefixes(sets.join(left, "node", "left_semi").filter(F.octet_length("set") > 0), percent))
     out = signed.join(nodes, "set_hash", "left")
-    out = out.withColumn("label", F.col("node")) if labels is None else out.join(labels, "node", "left")
+    out = out.withColumn("label", F.col("node")) if found.labels is None else out.join(found.labels, "node", "left")
     component = F.coalesce("label", "node", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
