@@ -8,9 +8,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html, langid, minhash, packing, quality, sharding, substrings, suffixes, urls
+from weft.llm import bpe, fingerprint, html, langid, minhash, packing, quality, sharding, substrings, suffixes, urls
 
 
 @pytest.fixture(scope="module")
@@ -55,17 +56,30 @@ def test_suffix_arrays_equal_sorting():
         s = t.tolist()
         want = sorted(range(len(s)), key=lambda i: s[i:])
         assert suffixes.suffix_array(t).tolist() == want
-        assert suffixes._sort_names(np.unique(t, return_inverse=True)[1]).tolist() == want
+        names = np.unique(t, return_inverse=True)[1]
+        assert suffixes.suffix_array(names, one_by_one=True).tolist() == want
         shared = suffixes.common_prefixes(t, np.array(want), 500)
         for a, b in zip(want, want[1:]):
             n = next((q for q in range(len(s)) if max(a, b) + q >= len(s) or s[a + q] != s[b + q]), 0)
             assert shared[b] == n
 
 
-def test_substrings_equal_brute_force(docs, texts, monkeypatch):
-    against_sql(substrings.substring_digests(docs), substrings.OP2_SQL, texts)
-    monkeypatch.setattr(substrings, "MOST_FRAGMENTS", 1)  # all anchors take the way of those with many surroundings
+def test_substrings_equal_brute_force(docs, texts):
     against_sql(substrings.substring_digests(docs), substrings.OP2_SQL, texts)
+    # All anchors are lengthened, and every copy of a fragment is compared in a run of its own.
+    against_sql(substrings.substring_digests(docs, most=1, run=1), substrings.OP2_SQL, texts)
+
+
+def test_equal_hashes_are_not_trusted():
+    rng = random.Random(20)
+    t = bytes(rng.choice(b"abc ") for _ in range(3000))
+    a = substrings.find_anchors([1, 2], [t, t[:1500]])
+    a["g"][:] = 7  # as if all fragments had one hash
+    a["h"][:] = 7
+    first, (doc, start, end) = substrings._collapse(a, a.pop("flat"))
+    for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
+        assert d == 2 and t[s:e] in t
+    assert len(first["doc"]) > 20
 
 
 def test_long_texts_in_pieces_have_the_same_anchors(monkeypatch):
@@ -88,10 +102,17 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     against_sql(minhash.near_duplicates(docs, shingle=2), minhash.OP7_SQL, texts)
 
 
-def test_blocks_find_links_left_over(docs, texts, monkeypatch):
-    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
-    monkeypatch.setattr(minhash, "BLOCK", 7)
-    against_sql(minhash.near_duplicates(docs, shingle=2), minhash.OP7_SQL, texts)
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_lists_find_links_left_over(docs, texts, rounds):
+    against_sql(minhash.near_duplicates(docs, shingle=2, rounds=rounds), minhash.OP7_SQL, texts)
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words[:100]), " ".join(words[100:])
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b + " end"), (4, "other words here")], "doc_id long, text string")
+    got = minhash.near_duplicates(df, shingle=2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
 
 
 def test_components_of_long_chains(spark):
@@ -116,6 +137,13 @@ def test_quality_equals_sql(docs, texts):
     against_sql(quality.judge_quality(docs), quality.OP5_SQL, texts)
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    rows = [(i, f"{'the same line' if i < 30 else f'line {i}'}\nown {i} words", "a") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = lambda **limits: quality.line_losses(df, **limits).filter("lost_words > 0").count()
+    assert lost() == 0 and lost(max_docs=29) == 30 and lost(max_docs=30) == 0 and lost(percent=4) == 30
+
+
 def test_frequent_lines_go(spark):
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     rows = [(i, f"Common Footer  here\n{body(i)}\n{body(i + 1000)}", "a") for i in range(20)] + [(20, "common footer here\n" * 3 + " ".join(["z"] * 2), "a"), (21, f"Common footer here\n{body(77)}", "b")]
@@ -160,6 +188,53 @@ def test_bounds_never_exceed_a_packing():
     assert packing.bins_bound(np.array([51, 51, 51]), 100) == 3 and packing.bins_bound(np.array([34] * 4), 100) == 2
 
 
+def least_bins(sizes, capacity):
+    """The optimum, by trying every bin for every item."""
+    best = [len(sizes)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= sizes[k] and room[j] not in room[:j]:
+                place(k + 1, [*room[:j], room[j] - sizes[k], *room[j + 1 :]])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bounds_and_packings_against_the_optimum():
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(150):
+        sizes = rng.integers(1, 21, rng.integers(1, 9))
+        bins = len(packing.best_fit_decreasing(sizes, 20)[2])
+        low, best = packing.bins_bound(sizes, 20), least_bins(sorted(sizes.tolist(), reverse=True), 20)
+        assert low <= best <= bins
+        met += low == bins
+        assert low != bins or bins == best  # a certificate proves the optimum
+    assert met > 100
+
+
+def test_the_bound_decides_what_is_exchanged(spark):
+    rng = random.Random(7)
+    rows = [(i, 0, 0, rng.choice([rng.randint(1, 30), 51, 34]), i) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with_bound = packing.pack_pieces(pieces, capacity=100, group_items=250).toPandas()
+    without = packing.pack_pieces(pieces, capacity=100, group_items=250, bound=lambda length, capacity: 0).toPandas()
+    turns = lambda x: set((x["sequence_id"] // 2**55).tolist())
+    stay = lambda x: (x["sequence_id"] < 2**55).mean()
+    assert with_bound["certified"].any() and not without["certified"].any()
+    assert stay(with_bound) != stay(without) and turns(with_bound) != turns(without)
+    assert with_bound["sequence_id"].nunique() <= without["sequence_id"].nunique()
+    for x in (with_bound, without):
+        assert sorted(x["doc_id"]) == list(range(2000)) and x.groupby("sequence_id")["length"].sum().max() <= 100
+
+
 def test_pieces_of_long_documents(spark):
     docs = spark.createDataFrame([(1, "word " * 1000), (2, "")], "doc_id long, text string")
     got = [tuple(r) for r in packing.token_pieces(docs, bpe.vocabulary(), capacity=400).select("doc_id", "piece", "start", "length").orderBy("doc_id", "piece").collect()]
@@ -275,6 +350,23 @@ def test_templates_of_a_host(spark):
     assert got[3] == "T3 Body 3" and got[99] == "Share this"
 
 
+def test_urls_equal_sql(spark):
+    rng = random.Random(18)
+    word = lambda s, k: "".join(rng.choices(s, k=k))
+    ends = ["com", "com/en/", "net/es/", "net/fr/x", "org", "org/es/"]
+    rows = [(i, f"http://{word('aeixyz', rng.randint(1, 9))}.{rng.choice(ends)}/{word('abcq0', rng.randint(0, 6))}") for i in range(400)] + [(400, None), (401, "none"), (402, "a://")]
+    pages = pd.DataFrame(rows, columns=["page_id", "url"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT page_id, verdict, score FROM ({urls.OP4_SQL})").fetchall()}
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for heavy in (urls.HEAVY, 8):
+        got = {r["page_id"]: r for r in urls.judge_urls(df, heavy=heavy).collect()}
+        assert got.keys() == want.keys()
+        for i, (verdict, score) in want.items():
+            assert got[i]["verdict"] == verdict and got[i]["score"] == (score if score is None else pytest.approx(score, abs=2e-6))
+
+
 def test_url_rules_and_ratio(spark):
     rng = random.Random(10)
     word = lambda s: "".join(rng.choices(s, k=8))
@@ -290,3 +382,46 @@ def test_url_rules_and_ratio(spark):
 def test_digest_of_kept_bytes(docs, texts):
     r = next(x for x in substrings.substring_digests(docs).collect() if x["doc_id"] == 202)
     assert r["kept_sha256"] == hashlib.sha256(b"x" * 99).hexdigest()
+
+
+def spark_hash(words):
+    """Spark's hash of several strings: each is seeded with the hash of those before it, the first with 42."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h
+
+
+def brute_sketch(text):
+    w = [x for x in re.split("[ \t\n\x0b\f\r]+", text) if x]
+    n = fingerprint.SHINGLE_WORDS
+    every = {spark_hash(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {spark_hash(w)} if w else set()
+    return {h for h in every if h < 1 << (64 - fingerprint.KEEP_BITS)}
+
+
+def test_fingerprints_equal_brute_force(spark, docs, texts):
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(docs).collect()}
+    order = [(i, t or "") for i, t, *_ in sorted(texts)]
+    like = lambda x, y: 1.0 if x == y else len(brute_sketch(x) & brute_sketch(y)) / (len(brute_sketch(x) | brute_sketch(y)) or 1)
+    text_of = lambda sketch: "".join(f"{h:016X}" for h in sorted(sketch))
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text_of(brute_sketch(t)), text_of(brute_sketch(edited)))
+        assert (r["near_edited"], r["near_next"]) == (like(t, edited), like(t, after))
+
+
+def test_sketches_merge_and_excerpts_are_contained(spark):
+    rng = random.Random(19)
+    rows = []
+    for _ in range(200):
+        words = [str(rng.randint(0, 10**6)) for _ in range(rng.randint(20, 200))]
+        a = rng.randrange(len(words) - 7)
+        rows.append((" ".join(words), " ".join(words[a : a + 7]), " ".join(words[: a + 4]), " ".join(words[a:])))
+    df = spark.createDataFrame(rows, "whole string, part string, head string, tail string")
+    for c in df.columns:
+        df = fingerprint.with_sketch(df, c, f"s_{c}")
+    got = df.select(fingerprint.containment(F.col("s_part"), F.col("s_whole")).alias("c"), (fingerprint.merged(F.col("s_head"), F.col("s_tail")) == F.col("s_whole")).alias("m")).collect()
+    assert all(r["c"] == 1.0 and r["m"] for r in got)
