@@ -7,10 +7,11 @@ with leaders of the band, not with each other, and sets are compared in full bef
 
 1. each node with the least leader of all its bands;
 2. where a band still spans several components, each of its nodes with the band's leader;
-3. the nodes of bands that still do with each other, by prefixes: the tokens of a set are put in order from the rarest
-   among these nodes on, and two sets similar enough share one of the first fifth (and one). A token's nodes are a
-   list; they are compared with LEADERS leaders of it, which then leave it, until all that are left in a list stand in
-   one component. So no candidate of the bands is left out, whatever the size of a band, and no pairs are made within it.
+3. the nodes of bands that still do with each other. Tokens that no other of these nodes has match nothing: a node
+   with so many of them that it cannot be similar to any is left out. What a band or a chain of bands connects of the
+   others is a cluster; it is dealt to blocks of bounded size, and two blocks at a time are compared as a matrix product.
+
+So no candidate of the bands is left out, and only links leave a task.
 
 With 44 bands of 6 values a pair of similarity 0.8 shares a band but for about 1.5 in a million.
 
@@ -24,6 +25,7 @@ empty result; extra columns are ignored by ``near_duplicates`` and kept by ``dro
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +36,10 @@ from weft.llm.common import durable, table
 
 BANDS, ROWS = 44, 6
 PERCENT = 80
-#: Rounds with leaders of bands, and leaders of a token's list in one round.
-LEADER_ROUNDS, LEADERS = 2, 8
+#: Rounds with leaders of bands.
+LEADER_ROUNDS = 2
+#: Nodes of one block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 4_000_000
 _WORD_CACHE = 150_000
 
 
@@ -186,8 +190,28 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _prefixes(own: DataFrame, percent: int) -> DataFrame:
-    """(node, set) to (token, node, size): the rarest tokens of each set, one of which it shares with any similar one."""
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components between the nodes of two blocks (x and y; one block: x alone), one for each two components."""
+    x, y = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
+    size = pdf["set"].map(len).to_numpy() // 8
+    token = np.unique(np.frombuffer(b"".join(pdf["set"]), np.int64), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(pdf)), size)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    at_x, at_y = (np.flatnonzero((pdf["side"] != k).to_numpy()) for k in (2, 1))
+    for k in range(0, int(token.max(initial=-1)) + 1, 4096):
+        mine = (token >= k) & (token < k + 4096)
+        m = np.zeros((len(pdf), 4096), np.float32)
+        m[row[mine], token[mine] - k] = 1
+        shared += m[at_x] @ m[at_y].T
+    total = size[at_x][:, None] + size[at_y][None, :] - shared
+    label_x, label_y = x["label"].to_numpy(), y["label"].to_numpy()
+    i, j = np.nonzero((100 * shared >= percent * total) & (label_x[:, None] != label_y[None, :]))
+    found = pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j], "la": label_x[i], "lb": label_y[j]})
+    return found.drop_duplicates(["la", "lb"])[["a", "b"]]
+
+
+def _able(own: DataFrame, percent: int) -> DataFrame:
+    """(node, set) to the nodes of which enough tokens are shared with others to be similar to any: (node)."""
     kind = dict(own.dtypes)["node"]
 
     def run(batches):
@@ -197,13 +221,11 @@ def _prefixes(own: DataFrame, percent: int) -> DataFrame:
             of = np.repeat(np.arange(len(sets)), size)
             yield pa.record_batch({"node": b.column("node").take(pa.array(of)), "size": pa.array(size[of], pa.int32()), "token": pa.array(np.concatenate(sets))})
 
-    tokens = durable(own.mapInArrow(run, f"node {kind}, size int, token long"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Tokens that no other node has come first and need no list.
-    shared = tokens.join(often, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    most = F.col("size") - F.expr(f"(size * {percent} + 99) DIV 100").cast("int") + 1 - (F.col("size") - F.size("t"))
-    prefix = F.slice("t", F.lit(1), F.greatest(most, F.lit(0)))
-    return durable(shared.select("node", "size", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")))
+    tokens = own.mapInArrow(run, f"node {kind}, size int, token long")
+    # Tokens of one node alone, counted for it.
+    lone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("size").alias("size")).filter("n = 1").groupBy("node", "size").agg(F.count(F.lit(1)).alias("lone"))
+    never = lone.filter(100 * (F.col("size") - F.col("lone")) < percent * F.col("size")).select("node")
+    return own.select("node").join(never, "node", "left_anti")
 
 
 class _Links:
@@ -216,8 +238,11 @@ class _Links:
     def compare(self, pairs: DataFrame) -> None:
         """Compare those (a, b, a < b) of the pairs that were not compared before."""
         pairs = durable(pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti"))
-        new = durable(_linked(pairs, self._sets, self._percent))
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        self.add(_linked(pairs, self._sets, self._percent))
+
+    def add(self, links: DataFrame) -> None:
+        new = durable(links)
         if not new.isEmpty():
             self.links = new if self.links is None else self.links.unionByName(new)
             self.labels = components(self.links)
@@ -237,36 +262,39 @@ def _pair() -> tuple[Column, Column]:
     return F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")
 
 
-def _compare_bands(found: _Links, own: DataFrame, rounds: int) -> DataFrame | None:
-    """Compare the nodes (node, size, keys) with leaders of their bands; those of bands that still span components."""
+def _compare_bands(found: _Links, own: DataFrame, rounds: int) -> DataFrame:
+    """Compare the nodes (node, size, keys) with leaders of their bands; (key, node, label) of bands that still span
+    several components."""
     if rounds:
         state = own.select("node", "size", F.explode("keys").alias("key"))
         lead = state.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"))
         least = state.join(lead, "key").filter("node <> lead.node").filter(found.near()).groupBy("node", "size").agg(F.min("lead").alias("lead"))
         found.compare(least.select(*_pair()).distinct())
-    for turn in range(rounds):
+    for turn in range(max(1, rounds)):
         state = found.labelled(own).select("node", "size", "label", F.explode("keys").alias("key"))
         lead = state.groupBy("key").agg(F.min(F.struct("node", "size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        open_ = state.join(lead.select("key", "lead"), "key")
-        if turn == rounds - 1:
-            return open_.select("node").distinct()
-        found.compare(open_.filter("label <> lead.label").filter(found.near()).select(*_pair()).distinct())
-    return own.select("node")
-
-
-def _compare_lists(found: _Links, lists: DataFrame) -> None:
-    """Compare the nodes of each token's list (token, node, size) until what is left in it stands in one component."""
-    while True:
-        state = found.labelled(lists)
-        split = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-        state = durable(state.join(split, "token"))
-        if state.isEmpty():
-            return
-        lead = durable(state.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("node", "size", "label")).alias("lead")).drop("salt"))
-        met = state.join(lead, "token").filter("label <> lead.label").filter(found.near())
-        found.compare(met.select(*_pair()).distinct())
-        # A leader has met all others of the list.
-        lists = durable(state.join(lead.select("token", F.col("lead.node").alias("node")), ["token", "node"], "left_anti").select("token", "node", "size"))
+        left = state.join(lead.select("key", "lead"), "key")
+        if turn + 1 < rounds:
+            found.compare(left.filter("label <> lead.label").filter(found.near()).select(*_pair()).distinct())
+    return left.select("key", "node", "label")
+
+
+def _cluster_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that stand in different components although bands (key, node, label) connect them."""
+    able = durable(_able(sets.join(left.select("node").distinct(), "node", "left_semi").filter(F.octet_length("set") > 0), percent).distinct())
+    left = durable(left.join(able, "node"))
+    lead = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead")).filter("lo <> hi")
+    edges = left.join(lead.select("key", "lead"), "key").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    clusters = components(edges).withColumnRenamed("label", "cluster")
+    nodes = left.select("node", "label").distinct().join(clusters, "node").join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    blocks = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    nodes = nodes.drop("bytes").distinct().join(blocks, "cluster")
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    met = nodes.select("cluster", "node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
+    # A node stands in its own block's pair once, on both sides.
+    kind = dict(left.dtypes)["node"]
+    return met.join(sets, "node").groupBy("cluster", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, percent), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = LEADER_ROUNDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +314,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int, percent: int = PERCENT, ba
     found = _Links(sets, percent)
     left = durable(_compare_bands(found, candidates, rounds))
     if not left.isEmpty():
-        _compare_lists(found, _prefixes(sets.join(left, "node", "left_semi").filter(F.octet_length("set") > 0), percent))
+        found.add(_cluster_links(left, sets, percent))
     out = signed.join(nodes, "set_hash", "left")
     out = out.withColumn("label", F.col("node")) if found.labels is None else out.join(found.labels, "node", "left")
     component = F.coalesce("label", "node", "id")
