@@ -12,7 +12,7 @@ at most per document, whatever the length of its text.
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing
 can be learned; a null id counts as not held out; ties between codewords go to the first language by name;
 repeated rows get equal predictions; an empty table gives an empty result; extra columns are ignored by
-``predict_languages`` and kept by ``keep_identified``.
+``identify_languages`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -164,29 +164,33 @@ def learn(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang:
     return fit([(r.lang, np.array(r.bins), np.array(r.counts)) for r in got])
 
 
-def predict_languages(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` and the columns ``keep``, with lang_pred, score and ambiguous, from the text alone."""
-    keep = [id_col] if keep is None else keep
+def _predict(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[bool]]:
+    """lang_pred, score and ambiguous of each text."""
+    known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    lang, score, doubt = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    if known:
+        loss = model.losses([texts[i] for i in known])
+        order = np.sort(loss, 1)
+        p = np.exp(-(loss - order[:, :1]) / TEMPERATURE)
+        for i, best, s, d in zip(known, loss.argmin(1).tolist(), (1 / p.sum(1)).tolist(), ((order[:, 1] - order[:, 0] < 2 * MARGIN) if loss.shape[1] > 1 else np.zeros(len(known), bool)).tolist()):
+            lang[i], score[i], doubt[i] = model.languages[best], s, d
+    return lang, score, doubt
+
+
+def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:
+    """(lang_pred, score, ambiguous) of a text, from the text alone; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        model = shared.value
-        for b in slices(batches, "_text", 1_000_000):
-            texts = b.column("_text").to_pylist()
-            known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-            lang, score, doubt = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            if known:
-                loss = model.losses([texts[i] for i in known])
-                order = np.sort(loss, 1)
-                p = np.exp(-(loss - order[:, :1]) / TEMPERATURE)
-                for i, best, s, d in zip(known, loss.argmin(1).tolist(), (1 / p.sum(1)).tolist(), ((order[:, 1] - order[:, 0] < 2 * MARGIN) if loss.shape[1] > 1 else np.zeros(len(known), bool)).tolist()):
-                    lang[i], score[i], doubt[i] = model.languages[best], s, d
-            names = [n for n in b.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
-
-    own = docs.select(*keep, F.col(text).alias("_text"))
-    schema = own.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return own.mapInArrow(run, schema)
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def predict(texts: pa.Array) -> pa.Array:
+        out = ([], [], [])
+        for part in slices([pa.record_batch({"text": texts})], "text", 500_000):
+            for own, new in zip(out, _predict(part.column("text").to_pylist(), shared.value)):
+                own += new
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["lang_pred", "score", "ambiguous"])
+
+    return predict(text)
 
 
 def held_out(id_col: Column) -> Column:
@@ -196,14 +200,15 @@ def held_out(id_col: Column) -> Column:
 def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, ambiguous; learned from the documents not held out."""
     model = learn(docs.filter(~held_out(F.col(id_col))), id_col=id_col, text=text, lang=lang)
-    return predict_languages(docs, model, id_col=id_col, text=text).select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score", "ambiguous")
+    own = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predicted(docs, model, F.col(text)).alias("p"))
+    return own.select(id_col, "held_out", "p.lang_pred", "p.score", "p.ambiguous")
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents with a language that is not in doubt; the columns stay the same."""
     model = learn(docs.filter(~held_out(F.col(id_col))), id_col=id_col, text=text, lang=lang)
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return predict_languages(own, model, keep=["row"]).filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")
+    own = docs.select(F.struct(*docs.columns).alias("row"), predicted(docs, model, F.col(text)).alias("p"))
+    return own.filter((F.col("p.lang_pred") != UNKNOWN) & ~F.col("p.ambiguous")).select("row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
