@@ -103,7 +103,8 @@ def test_near_duplicates_equal_brute_force(docs, texts):
 
 
 @pytest.mark.parametrize("rounds", [0, 1])
-def test_lists_find_links_left_over(docs, texts, rounds):
+def test_blocks_find_links_left_over(docs, texts, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     against_sql(minhash.near_duplicates(docs, shingle=2, rounds=rounds), minhash.OP7_SQL, texts)
 
 

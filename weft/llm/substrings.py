@@ -365,15 +365,16 @@ def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text: str, keep: list[str], **limits: int) -> DataFrame:
-    """(row, data, spans): the columns ``keep`` as one, the text's bytes, and the spans to remove."""
+    """(row, spans): the columns ``keep`` as one, and the spans to remove."""
     spans = repeated_spans(docs, id_col=id_col, text=text, **limits)
-    own = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
-    return own.join(spans, own["id"] == spans["doc"], "left").select("row", "data", "spans")
+    own = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    return own.join(spans, own["id"] == spans["doc"], "left").select("row", "spans")
 
 
 def substring_digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes kept."""
-    df = _with_spans(docs, id_col, text, [id_col], **limits)
+    df = _with_spans(docs.select(F.col(id_col), F.col(text).alias("_text") if text != "_text" else F.col(text)), id_col, "_text", [id_col, "_text"], **limits)
+    df = df.select(F.struct(F.col("row")[id_col].alias(id_col)).alias("row"), F.encode(F.coalesce(F.col("row._text"), F.lit("")), "UTF-8").alias("data"), "spans")
 
     def run(batches):
         for b in slices(batches, "data"):
@@ -398,18 +399,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     Bytes of a character cut in two are dropped with it. A null text stays null.
     """
     df = _with_spans(docs, id_col, text, docs.columns)
-    names = docs.columns
 
-    def run(batches):
-        for b in slices(batches, "data"):
-            old = {n: pc.struct_field(b.column("row"), n) for n in names}
-            cut = [None if t is None else _cut(d, p)[0].decode("utf-8", "ignore") for t, d, p in zip(old[text].to_pylist(), b.column("data").to_pylist(), b.column("spans").to_pylist())]
-            old[text] = pa.array(cut, pa.string())
-            if n_chars in old:
-                old[n_chars] = pa.array([None if c is None else len(c) for c in cut], old[n_chars].type)
-            yield pa.RecordBatch.from_arrays(list(old.values()), names=names)
-
-    return df.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for k in range(0, len(texts), 1000):  # few texts at a time as Python strings
+            t, p = texts.slice(k, 1000).to_pylist(), spans.slice(k, 1000).to_pylist()
+            out.append(pa.array([x if x is None or not y else _cut(x.encode(), y)[0].decode("utf-8", "ignore") for x, y in zip(t, p)], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    # Only texts and spans go to Python, and come back once; all else stays where it is.
+    df = df.select("row", cut(F.col("row")[text], F.col("spans")).alias("clean"))
+    new = {text: F.col("clean")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.length("clean").cast(dict(docs.dtypes)[n_chars])
+    return df.select(*(new.get(n, F.col("row")[n]).alias(n) for n in docs.columns))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
