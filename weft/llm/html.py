@@ -292,6 +292,7 @@ def deduce_templates(pages: DataFrame, *, url: str = "url", html: str = "html")
     vectors = found.groupBy("host", "token").agg(
         F.max("kind").alias("kind"), F.max("around").alias("around"), F.max("count").alias("most"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("page", "count")).alias("vector")
     )
+    vectors = durable(vectors)  # read twice: pages are parsed once
     of_host = vectors.filter("token = -1").select("host", F.col("n").alias("pages"))
     # Rows per token of a host that enough pages have; the page's own row goes.
     vectors = durable(vectors.filter("token <> -1").join(of_host, "host").filter(F.col("n") >= F.least(F.lit(MIN_PAGES), F.col("pages"))).drop("pages"))
