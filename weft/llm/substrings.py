@@ -14,7 +14,8 @@ an anchor lie in its fragment of under two windows.
    are removed.
 
 Hashes only tell where to look: bytes and arrays decide. Anchors with more than MOST_FRAGMENTS surroundings are
-lengthened to the whole string: their fragments fall into strings of WINDOW bytes, which go through the same steps.
+lengthened to the whole string: their fragments fall into strings of WINDOW bytes, which go through the same steps, but
+for the array: of strings that all differ none holds another.
 
 Defined results: a null text is an empty text; documents shorter than a window lose nothing; ids tell texts apart, so
 rows with equal ids must have equal texts, are the same document and get equal results; a null id comes before all
@@ -309,7 +310,16 @@ def shard_repeats(doc: np.ndarray, s: np.ndarray, size: np.ndarray, data: bytes)
     return merge_spans(doc[f[later]], start[later], start[later] + WINDOW)
 
 
+def _strings_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """As ``_shard`` for strings of WINDOW bytes that are their own anchors: two of them share a string only if equal."""
+    return _judge(pdf, False)
+
+
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _judge(pdf, True)
+
+
+def _judge(pdf: pd.DataFrame, parts: bool) -> pd.DataFrame:
     # Rows come in any order; what is found does not depend on it.
     doc, s = (np.frombuffer(b"".join(pdf[k]), np.int64) for k in ("doc", "s"))
     size, data = np.frombuffer(b"".join(pdf["size"]), np.int32).astype(np.int64), b"".join(pdf["data"])
@@ -321,7 +331,7 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
         copy_of[k] = first.setdefault(data[a : a + n], k)
     copies = np.flatnonzero((doc != doc[copy_of]) | (s != s[copy_of]))
     own = np.fromiter(first.values(), np.int64, len(first))
-    got = shard_repeats(doc[own], s[own], size[own], b"".join(first))
+    got = shard_repeats(doc[own], s[own], size[own], b"".join(first)) if parts else (doc[:0], s[:0], s[:0])
     got = merge_spans(*(np.concatenate([x, y]) for x, y in zip(got, (doc[copies], s[copies], s[copies] + size[copies]))))
     return pd.DataFrame(dict(zip(("doc", "s", "e"), got)))
 
@@ -337,6 +347,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
         buckets = int(max(least, -(-bytes_ // BUCKET_BYTES)))
         return durable(_anchor_rows(rows, buckets).groupBy("bucket").applyInPandas(_meeter(most, run), "doc long, s long, e long, h long, part long, many boolean"))
 
+    def shards(wanted: DataFrame, judge) -> DataFrame:
+        much = wanted.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
+        return durable(_fragment_rows(own, wanted, int(max(least, -(-much // SHARD_BYTES)))).groupBy("shard").applyInPandas(judge, "doc long, s long, e long"))
+
     met = meet(own, size)
     spans = met.filter("h IS NULL").select("doc", "s", "e")
     wanted = met.filter("h IS NOT NULL AND NOT many")
@@ -346,11 +360,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
         parts = met.filter("many").groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
         strings = meet(own.join(parts, own["id"] == parts["doc"]).select("id", "data", "parts"), long)
         spans = spans.unionByName(strings.filter("h IS NULL").select("doc", "s", "e"))
-        wanted = wanted.unionByName(strings.filter("h IS NOT NULL"))
-        much = (much or 0) + (strings.filter("h IS NOT NULL").agg(F.sum(width)).first()[0] or 0)
+        spans = spans.unionByName(shards(strings.filter("h IS NOT NULL"), _strings_shard))
     if much:
-        shards = int(max(least, -(-much // SHARD_BYTES)))
-        spans = spans.unionByName(durable(_fragment_rows(own, wanted, shards).groupBy("shard").applyInPandas(_shard, "doc long, s long, e long")))
+        spans = spans.unionByName(shards(wanted, _shard))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
