@@ -2,8 +2,8 @@
 
 A byte is removed if a string of WINDOW bytes covers it that also starts earlier in the corpus (smaller id, or
 same document and earlier start). Every such string holds an anchor: the least-hashed string of ANCHOR bytes in
-it, which depends on its bytes alone. So equal strings share an anchor at the same place, and all strings around
-an anchor lie in its fragment of under two windows.
+it, which depends on its bytes alone. So equal strings share an anchor at the same place, and all strings whose least
+anchor it is lie in its fragment of under two windows, which ends where a lesser one to either side takes over.
 
 1. Anchors are found and dealt to buckets by their hash, with a hash of their fragment. Within a task, fragments whose
    bytes equal an earlier one's are removed as a whole.
@@ -111,6 +111,11 @@ def find_anchors(ids: list[int], texts: list[bytes]) -> dict[str, np.ndarray]:
     place = pos - at[of] + np.array([p[2] for p in parts])[of]
     left = np.minimum(place, WINDOW - ANCHOR)
     right = np.minimum(np.array([p[1] for p in parts])[of] - place, WINDOW)
+    for d in range(reach - 1, 0, -1):  # no string of the fragment holds a lesser anchor
+        lesser = (pos - d >= at[of]) & (rank[np.maximum(pos - d, 0)] < rank[pos])
+        left[lesser] = np.minimum(left[lesser], d - 1)
+        lesser = (pos + d + ANCHOR <= at[of + 1]) & (rank[np.minimum(pos + d, len(rank) - 1)] < rank[pos])
+        right[lesser] = np.minimum(right[lesser], d + ANCHOR - 1)
     h = _mix((total[pos + ANCHOR] - total[pos]) * down[pos])
     s = pos - left
     g = _mix(_mix((total[pos + right] - total[s]) * down[s]) + (left * 256 + right).astype(np.uint64))
