@@ -70,6 +70,27 @@ def test_substrings_equal_brute_force(docs, texts):
     against_sql(substrings.substring_digests(docs, most=1, run=1), substrings.OP2_SQL, texts)
 
 
+@pytest.mark.parametrize("places", [1, 10**9])  # ranges wherever they are possible, and nowhere
+def test_suffix_arrays_by_ranges_and_by_places(monkeypatch, places):
+    monkeypatch.setattr(suffixes, "FEW_PLACES", places)
+    rng = random.Random(5)
+    for symbols in (1, 2, 5, 50, 3000):
+        for n in (2, 7, 60, 300):
+            t = [rng.randrange(symbols) for _ in range(n)]
+            for x in (t, sorted(t), sorted(t, reverse=True), t[: n // 2] * 3):
+                assert suffixes.suffix_array(np.array(x)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_fragments_hold_every_string_with_its_least_anchor():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (99, 100, 101, 900, 2500)]
+    a = substrings.find_anchors(list(range(len(texts))), texts)
+    spans = list(zip(a["doc"].tolist(), (a["pos"] - a["left"]).tolist(), (a["pos"] + a["right"]).tolist()))
+    held = {(d, k) for d, s, e in spans for k in range(s, e - 99)}
+    assert held == {(d, k) for d, t in enumerate(texts) for k in range(len(t) - 99)}
+    assert sum(e - s - 99 for _, s, e in spans) < 1.1 * len(held)  # each with hardly more than one
+
+
 def test_equal_hashes_are_not_trusted():
     rng = random.Random(20)
     t = bytes(rng.choice(b"abc ") for _ in range(3000))
